@@ -7,10 +7,98 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import packing, repetition, tokens
+from quillspan.llm import digest, distinctive, fusion, groupsplit, neardup, overlap, packing, repetition, tokens
 from quillspan.sources.tables import table
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.records(*[table(spark, folder, t) for t in ("passages", "questions", "article_split")])
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of nearly equal records across training and evaluation parts, with its similarity."""
+    return overlap.cross_pairs(_records(spark, folder))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping records and pairs by evaluation part and article."""
+    return overlap.report(p1_pairs(spark, folder))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p1_pairs(spark, folder).where("key_t <> key_e")
+    return pairs.select("kind", F.least("key_t", "key_e").alias("key_a"), F.greatest("key_t", "key_e").alias("key_b")).distinct()
+
+
+def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every term of every record."""
+    return distinctive.term_scores(table(spark, folder, "passages"), table(spark, folder, "questions"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return distinctive.rare_shared(p3_scores(spark, folder))
+
+
+def _roots(spark: SparkSession, folder: str) -> DataFrame:
+    return groupsplit.article_roots(*[table(spark, folder, t) for t in ("article_split", "passages", "questions")])[0]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groupsplit.same_article(table(spark, folder, "article_split"), _roots(spark, folder))
+
+
+def p4_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The spanning forest over article strings."""
+    return groupsplit.article_roots(*[table(spark, folder, t) for t in ("article_split", "passages", "questions")])[1]
+
+
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A part for every passage and question; records of one article share it."""
+    shares = [(r["part"], r["share"]) for r in table(spark, folder, "split_share").distinct().orderBy("part").collect()]  # settings: a row a part
+    return groupsplit.assign(table(spark, folder, "passages"), table(spark, folder, "questions"), _roots(spark, folder), shares)
+
+
+def p5_run_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median, 90th, 95th and 99th percentile of each stage's time by run, with the certified error of their ranks."""
+    return digest.percentiles(table(spark, folder, "predictions_a"), "run_id", [0.5, 0.9, 0.95, 0.99])
+
+
+def p5_article_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by article."""
+    return digest.percentiles(table(spark, folder, "predictions_a"), "article", [0.5, 0.9, 0.95, 0.99])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return digest.heavy_tails(table(spark, folder, "predictions_a"), "run_id").select(F.col("key").alias("run_id"), "stage")
+
+
+def p6_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages of each question in one order."""
+    return fusion.fused(fusion.rank_items(table(spark, folder, "retrieved"), "qid", "pid"), "qid", "pid")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.majority_winners(fusion.rank_items(table(spark, folder, "retrieved"), "qid", "pid"), "qid", "pid")
+
+
+def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of nearly equal questions, with its similarity and whether ``is_impossible`` agrees."""
+    questions = table(spark, folder, "questions")
+    pairs = neardup.NearDuplicates(questions, "qid", "question").pairs()
+    flag = questions.where("qid IS NOT NULL").groupBy("qid").agg(F.max("is_impossible").alias("f"))
+    a, b = (flag.select(F.col("qid").alias(f"key_{x}"), F.col("f").alias(f"f_{x}")) for x in "ab")
+    return pairs.join(a, "key_a").join(b, "key_b").select(F.col("key_a").alias("qid_a"), F.col("key_b").alias("qid_b"), "similarity", F.col("f_a").eqNullSafe(F.col("f_b")).alias("agree"))
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group, copies and links of every question with letters or digits."""
+    return neardup.NearDuplicates(table(spark, folder, "questions"), "qid", "question").groups().select(F.col("key").alias("qid"), "group", "copies", "links")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, folder, "questions"), "qid", "question").pairs().select(F.col("key_a").alias("qid_a"), F.col("key_b").alias("qid_b"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return tokens.encode_documents(table(spark, folder, "documents"), "doc_id", "text", ids="ids")
