@@ -52,3 +52,39 @@ def any_null(*columns: str) -> Column:
     for c in columns[1:]:
         out = out | F.col(c).isNull()
     return out
+
+
+def split_ranks(rows: DataFrame, group: str, values: list[str], most: int = 200_000, splits: int = 512) -> DataFrame:
+    """Add ``n`` (rows of the group) and, for each of ``values``, ``above_<value>`` and ``ties_<value>``: how many rows of the group have a greater value, and the same.
+
+    Values are numbers without nulls. Groups of at most ``most`` rows are ranked
+    by windows after one shuffle. Larger ones are cut into ranges of the value
+    first, so that no task holds a whole group: ranks inside a range start at what
+    the ranges above hold.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > most).select(group, "n")
+    small = rows
+    hot = None
+    if not large.isEmpty():
+        hot = rows.join(large, group)
+        small = rows.join(large.select(group), group, "left_anti")
+    whole = Window.partitionBy(group)
+    out = small.withColumn("n", F.count(F.lit(1)).over(whole))
+    for v in values:
+        out = out.withColumn(f"above_{v}", F.rank().over(whole.orderBy(F.desc(v))) - 1).withColumn(f"ties_{v}", F.count(F.lit(1)).over(Window.partitionBy(group, v)))
+    if hot is None:
+        return out
+    at = [k / splits for k in range(1, splits)]
+    for v in values:
+        cuts = hot.groupBy(group).agg(F.percentile_approx(v, F.array(*map(F.lit, at)), F.lit(20 * splits)).alias("_cuts"))
+        counted = hot.groupBy(group, v).agg(F.count(F.lit(1)).alias("_ties")).join(cuts, group)
+        counted = counted.withColumn("_range", F.size(F.filter("_cuts", lambda c, v=v: c >= F.col(v)))).drop("_cuts")
+        ranges = counted.groupBy(group, "_range").agg(F.sum("_ties").alias("_in"))
+        before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select(group, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"))
+        inside = Window.partitionBy(group, "_range").orderBy(F.desc(v)).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.withColumn("_inside", F.coalesce(F.sum("_ties").over(inside), F.lit(0))).join(ranges, [group, "_range"])
+        ranked = ranked.select(group, v, (F.col("_base") + F.col("_inside")).alias(f"above_{v}"), F.col("_ties").alias(f"ties_{v}"))
+        hot = hot.join(ranked, [group, v])
+    return out.unionByName(hot.select(*out.columns))
