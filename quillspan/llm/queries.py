@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import digest, distinctive, fusion, groupsplit, neardup, overlap, packing, repetition, tokens
+from quillspan.llm import digest, distinctive, fusion, groupsplit, neardup, overlap, packing, repetition, sentences, tokens
 from quillspan.sources.tables import table
 
 
@@ -30,6 +30,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("kind", F.least("key_t", "key_e").alias("key_a"), F.greatest("key_t", "key_e").alias("key_b")).distinct()
 
 
+def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every passage, in order."""
+    return sentences.sentences(table(spark, folder, "passages").select("pid", "text").distinct(), "pid", "text")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_sentences(spark, folder).select("pid", "sent_end").distinct()
+
+
 def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of every term of every record."""
     return distinctive.term_scores(table(spark, folder, "passages"), table(spark, folder, "questions"))
