@@ -46,7 +46,7 @@ def title_key(title: str) -> str:
             break
     # marks first: NFKC would turn a free-standing accent into a blank and an accent
     folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", title.translate(_QUOTES)).casefold()).translate(_QUOTES)
-    return "".join(c for c in folded if c != "_" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc", "Cf", "Pd") and not "︀" <= c <= "️")
+    return "".join(c for c in folded if c != "_" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc", "Cf", "Pd") and not "\ufe00" <= c <= "\ufe0f")
 
 
 @F.pandas_udf(T.StringType())
