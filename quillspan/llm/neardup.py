@@ -24,7 +24,7 @@ FRAGMENTS = 8
 
 
 def fragments(classes: DataFrame, counts: Broadcast, pieces: int, bits: int) -> DataFrame:
-    """``sig, fragment, part, size``: the runs of each class in each fragment of the global order where it has any.
+    """``id, fragment, part, size``: the runs of each class in each fragment of the global order where it has any.
 
     A fragment is a range of the order that holds about the same number of the
     corpus's runs as each other; the cuts follow from the table of counts.
@@ -53,9 +53,9 @@ def fragments(classes: DataFrame, counts: Broadcast, pieces: int, bits: int) ->
                         sizes.append(len(grams))
                 lengths = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(number, type=pa.int32()), lists, pa.array(sizes, type=pa.int32())], names=["sig", "fragment", "part", "size"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(number, type=pa.int32()), lists, pa.array(sizes, type=pa.int32())], names=["id", "fragment", "part", "size"])
 
-    return classes.select("sig", "grams").mapInArrow(run, "sig binary, fragment int, part array<bigint>, size int")
+    return classes.select("id", "grams").mapInArrow(run, "id bigint, fragment int, part array<bigint>, size int")
 
 
 class NearDuplicates:
@@ -67,32 +67,25 @@ class NearDuplicates:
         sets = materialize(setjoin.text_sets(wanted, ["key"], "text"), "neardup-sets")
         #: ``key, sig``: a row for each record with a run.
         self.members = sets.select("key", "sig")
-        classes = materialize(sets.groupBy("sig").agg(F.first("grams").alias("grams"), F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "neardup-classes")
-        #: ``sig, rep, copies``: a row for each class; ``rep`` is its least key.
-        self.classes = classes.select("sig", "rep", "copies")
+        classes = materialize(setjoin.classes_of(sets, F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "neardup-classes")
+        #: ``id, sig, rep, copies``: a row for each class; ``rep`` is its least key.
+        self.classes = classes.select("id", "sig", "rep", "copies")
         counts = setjoin.run_counts(classes, bits)
-        index = setjoin.postings(classes, counts, [], bits=bits, part=part, replicate=True)
-        probe = setjoin.postings(classes, counts, [], bits=bits, part=part, replicate=False)
-        # the smaller set is on the left; against sets of its size and more it needs the shorter of the two prefixes
-        p, q = setjoin.NUMERATOR, setjoin.DENOMINATOR
-        shorter = index.where(F.col("pos") <= F.col("size") - setjoin.needed(F.col("size"), F.col("size")))
-        smaller = F.struct(F.col("x.size"), F.col("x.sig")) < F.struct(F.col("y.size"), F.col("y.sig"))
-        found = (
-            shorter.alias("x")
-            .join(probe.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & smaller & setjoin.admitted("x", "y", p, q))
-            .select(F.col("x.sig").alias("sig_x"), F.col("y.sig").alias("sig_y"))
-            .distinct()
-        )
-        found = materialize(found, "neardup-candidates")
+        index = setjoin.postings(classes, counts, bits=bits, part=part, replicate=True)
+        probe = setjoin.postings(classes, counts, bits=bits, part=part, replicate=False)
+        # the smaller part is on the left; against parts of its size and more it needs the shorter of the two prefixes
+        met = setjoin.candidates(index.alias("x").where(setjoin.short_prefix("x")), probe, setjoin.smaller("x", "y"))
+        found = materialize(met.select(F.least("id_x", "id_y").alias("id_x"), F.greatest("id_x", "id_y").alias("id_y")).distinct(), "neardup-candidates")
         cut = materialize(fragments(classes, counts, pieces, bits), "neardup-fragments")
-        x = cut.select(F.col("sig").alias("sig_x"), "fragment", F.col("part").alias("part_x"), F.col("size").alias("size_x"))
-        y = cut.select(F.col("sig").alias("sig_y"), "fragment", F.col("part").alias("part_y"), F.col("size").alias("size_y"))
-        partial = found.join(x, "sig_x").join(y, ["sig_y", "fragment"]).select("sig_x", "sig_y", "size_x", "size_y", F.size(F.array_intersect("part_x", "part_y")).alias("n"))
-        summed = partial.groupBy("sig_x", "sig_y", "size_x", "size_y").agg(F.sum("n").alias("common"))
+        x, y = (cut.select(F.col("id").alias(f"id_{s}"), "fragment", F.col("part").alias(f"part_{s}"), F.col("size").alias(f"size_{s}")) for s in "xy")
+        partial = found.join(x, "id_x").join(y, ["id_y", "fragment"]).select("id_x", "id_y", "size_x", "size_y", F.size(F.array_intersect("part_x", "part_y")).alias("n"))
+        summed = partial.groupBy("id_x", "id_y", "size_x", "size_y").agg(F.sum("n").alias("common"))
         joined = F.col("size_x") + F.col("size_y") - F.col("common")
-        links = summed.where(F.col("common") * q >= joined * p).select("sig_x", "sig_y", (F.col("common") / joined).alias("similarity"))
+        p, q = setjoin.NUMERATOR, setjoin.DENOMINATOR
+        near = summed.where(F.col("common") * q >= joined * p).select("id_x", "id_y", (F.col("common") / joined).alias("similarity"))
         #: ``sig_x, sig_y, similarity``: every link between different classes once.
-        self.links = materialize(links, "neardup-links")
+        named = near.join(classes.select(F.col("id").alias("id_x"), F.col("sig").alias("sig_x")), "id_x").join(classes.select(F.col("id").alias("id_y"), F.col("sig").alias("sig_y")), "id_y")
+        self.links = materialize(named.select("sig_x", "sig_y", "similarity"), "neardup-links")
 
     def pairs(self) -> DataFrame:
         """``key_a, key_b, similarity`` of every pair of records, copies included; ``key_a < key_b``."""

@@ -4,10 +4,14 @@
 * The global order of runs is by frequency, rarest first. Frequencies come from a
   table of counts by hash bucket, of a fixed size whatever the corpus: any total
   order makes the filters exact, this one makes them sharp.
-* Each class posts the runs of its prefix with its size, its position and a
-  256-bit parity sketch. Two classes meet on a common run of their prefixes and
-  are a candidate only if sizes, positions and sketches all admit the threshold.
-  None of these filters loses a pair.
+* Large sets are cut into parts by a hash of the run: of two sets that reach the
+  threshold, some part of the one reaches it with the same part of the other (or
+  else the whole couldn't). Parts have up to some hundred runs at every length of
+  text, so that a sketch of fixed size tells them apart.
+* Each part posts the runs of its prefix with its size, the position and a 256-bit
+  parity sketch. Two classes meet on a common run of their prefixes and are a
+  candidate only if sizes, positions and sketches all admit the threshold. None of
+  these filters loses a pair.
 * The postings of a run that is frequent by the table are dealt to several parts,
   so that no task gets a long list alone.
 
@@ -31,9 +35,12 @@ from quillspan.llm.chars import mix, plain, runs
 #: Characters of a run; similarity from which texts are a pair (as a fraction); buckets of the table of counts.
 RUN, NUMERATOR, DENOMINATOR = 4, 3, 5
 BUCKET_BITS = 20
-#: Postings of a run that go to one part, at most (by the table of counts).
+#: Postings of a run that go to one task's list, at most (by the table of counts).
 PART = 4096
 WORDS = 4
+#: A set of up to FIRST runs is whole, one of up to 4 FIRST is cut into 4 parts, of up to 16 FIRST into 16, and so on.
+FIRST = 128
+_KEY, _BIN, _CUT = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x5851F42D4C957F2D, 0xA24BAED4963EE407))
 
 
 def text_sets(texts: DataFrame, keys: list[str], text: str, space: str | None = None, n: int = RUN) -> DataFrame:
@@ -102,11 +109,14 @@ def ordered(grams: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return grams[np.lexsort((grams, table[bucket_of(grams, bits)]))]
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the runs in each of 256 bins: the symmetric difference of two sets has at least as many runs as their sketches have differing bits."""
-    bins = (mix(grams.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(bins, minlength=64 * WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
+    """A row for each different set: a number ``id``, ``sig``, ``grams`` and the aggregates asked for. The numbers hold once this is written."""
+    return sets.groupBy("sig").agg(F.first("grams").alias("grams"), *more).withColumn("id", F.monotonically_increasing_id())
+
+
+def level_of(size: np.ndarray) -> np.ndarray:
+    """0 for a set that stays whole, k for one that is cut into 4**k parts."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / FIRST) / 2 - 1e-12)).astype(np.int64)
 
 
 def needed(a: Column, b: Column, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
@@ -114,61 +124,109 @@ def needed(a: Column, b: Column, p: int = NUMERATOR, q: int = DENOMINATOR) -> Co
     return F.floor((F.lit(p) * (a + b) + (p + q - 1)) / F.lit(p + q)).cast("int")
 
 
-def postings(classes: DataFrame, counts: Broadcast, flags: list[str], *, bits: int = BUCKET_BITS, p: int = NUMERATOR, q: int = DENOMINATOR, part: int = PART, replicate: bool) -> DataFrame:
-    """``gram, part, pos, size, s0..s3, sig`` and the flags, for the prefix of each class.
-
-    A set of n runs that is similar to another shares one of its first
-    n - ceil(p n / q) + 1 runs with that one's prefix. ``replicate``: the row goes
-    to each part of its run, else to one of them.
+def _posted(level: int, sets: list[np.ndarray], table: np.ndarray, bits: int, p: int, q: int) -> tuple[np.ndarray, ...]:
+    """For sets cut into 4**level parts: row, run, position in its part, size of the part and sketch, for the prefixes of all parts."""
+    m = 4**level
+    sizes = np.array([len(s) for s in sets])
+    grams = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    hashed = mix(grams.view(np.uint64) ^ _CUT)
+    part = row * m + ((hashed >> np.uint64(64 - 2 * level)).astype(np.int64) if level else 0)
+    order = np.lexsort((grams, table[bucket_of(grams, bits)], part))
+    part, grams, row = part[order], grams[order], row[order]
+    size = np.bincount(part, minlength=len(sets) * m)
+    pos = np.arange(len(grams)) - (np.cumsum(size) - size)[part]
+    own = size[part]
+    keep = pos <= own - (p * own + q - 1) // q
+    cell = part * (64 * WORDS) + (mix(grams.view(np.uint64) ^ _BIN) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(size) * 64 * WORDS) & 1).astype(np.uint8)
+    sketches = np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, WORDS)
+    return row[keep], grams[keep], pos[keep], own[keep], sketches[part[keep]]
+
+
+def postings(classes: DataFrame, counts: Broadcast, *, bits: int = BUCKET_BITS, p: int = NUMERATOR, q: int = DENOMINATOR, part: int = PART, replicate: bool) -> DataFrame:
+    """``key, meta, id, s0..s3``: the prefix of each part of each class.
+
+    ``key`` is a hash of the run, the level of cutting and the list; ``meta``
+    packs the class's size, whether the level is its own, the part's size and the
+    position. A part of n runs that is similar to another shares one of its first
+    n - ceil(p n / q) + 1 runs with that one's prefix. A class whose larger
+    partners may be cut more finely is also posted at their level.
+
+    The sketch: the symmetric difference of two parts has at least as many runs as
+    their sketches have differing bits. ``replicate``: a posting goes to each list
+    of its run, else to one of them.
     """
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in classes.select(*flags).schema.fields]
-    columns = ["sig", "grams", *flags]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                piece = batch.slice(i, 1024)
-                sigs = piece.column(0).to_pylist()
-                values, offsets = piece.column(1).values.to_numpy(), piece.column(1).offsets.to_numpy()
-                row, gram, pos, parts, sizes, sketches = [], [], [], [], [], []
-                for k, sig in enumerate(sigs):
-                    grams = values[offsets[k] : offsets[k + 1]]
-                    n = len(grams)
-                    prefix = ordered(grams, table, bits)[: n - (p * n + q - 1) // q + 1]
-                    times = np.minimum(table[bucket_of(prefix, bits)] // part + 1, 1 << 16).astype(np.int64)
-                    at = np.arange(len(prefix))
-                    if times.max() == 1:
-                        mine = np.zeros(len(prefix), dtype=np.int64)
-                    elif replicate:
-                        at = np.repeat(at, times)
-                        mine = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    else:
-                        mine = int.from_bytes(sig[:6], "little") % times
-                    gram.append(prefix[at])
-                    pos.append(at)
-                    parts.append(mine)
-                    row.append(np.full(len(at), k))
-                    sizes.append(np.full(len(at), n))
-                    sketches.append(np.broadcast_to(sketch(grams), (len(at), WORDS)))
-                rows = pa.array(np.concatenate(row))
-                bits_of = np.concatenate(sketches)
-                arrays = [pa.array(np.concatenate(gram)), pa.array(np.concatenate(parts), type=pa.int32()), pa.array(np.concatenate(pos), type=pa.int32()), pa.array(np.concatenate(sizes), type=pa.int32())]
-                arrays += [pa.array(np.ascontiguousarray(bits_of[:, w])) for w in range(WORDS)]
-                arrays += [piece.column(0).take(rows), *[piece.column(2 + f).take(rows) for f in range(len(flags))]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "part", "pos", "size", *[f"s{w}" for w in range(WORDS)], "sig", *flags])
-
-    schema = ["gram bigint", "part int", "pos int", "size int", *[f"s{w} bigint" for w in range(WORDS)], "sig binary", *fields]
-    return classes.select(*columns).mapInArrow(run, ", ".join(schema))
+            values, offsets, ids = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
+            size = np.diff(offsets)
+            own, upper = level_of(size), level_of(np.maximum(size * q // p, size))
+            for level in range(int(upper.max(initial=0)) + 1):
+                rows = np.flatnonzero((own == level) | ((own < level) & (upper >= level)))
+                step = max(1, 2048 // 4**level)
+                for i in range(0, len(rows), step):
+                    some = rows[i : i + step]
+                    row, gram, pos, of, sketches = _posted(level, [values[offsets[k] : offsets[k + 1]] for k in some], table, bits, p, q)
+                    times = np.minimum(table[bucket_of(gram, bits)] // part + 1, 1 << 16).astype(np.int64)
+                    listed = np.zeros(len(gram), dtype=np.int64)
+                    if times.max() > 1 and replicate:
+                        listed = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        row, gram, pos, of, sketches = (np.repeat(x, times, axis=0) for x in (row, gram, pos, of, sketches))
+                    elif times.max() > 1:
+                        listed = (mix(ids[some][row]) >> np.uint64(1)).astype(np.int64) % times
+                    at = some[row]
+                    key = mix(gram.view(np.uint64) ^ _KEY * np.uint64(level + 1)) ^ mix(listed) * (listed > 0)
+                    meta = (size[at].astype(np.int64) << 33) | ((own[at] == level).astype(np.int64) << 32) | (of << 16) | pos
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(meta), pa.array(ids[at]), *[pa.array(np.ascontiguousarray(sketches[:, w])) for w in range(WORDS)]], names=["key", "meta", "id", *[f"s{w}" for w in range(WORDS)]]
+                    )
+
+    return classes.select("id", "grams").mapInArrow(run, "key bigint, meta bigint, id bigint, " + ", ".join(f"s{w} bigint" for w in range(WORDS)))
+
+
+def _field(of: str, name: str) -> Column:
+    meta = F.col(f"{of}.meta")
+    return {
+        "size": F.shiftright(meta, 33).cast("int"),
+        "own": F.shiftright(meta, 32).bitwiseAND(1).cast("int"),
+        "part": F.shiftright(meta, 16).bitwiseAND(0xFFFF).cast("int"),
+        "pos": meta.bitwiseAND(0xFFFF).cast("int"),
+    }[name]
+
+
+def short_prefix(of: str) -> Column:
+    """Is the posting in the prefix that is enough against parts of its size and more?"""
+    n = _field(of, "part")
+    return _field(of, "pos") <= n - needed(n, n)
+
+
+def smaller(x: str, y: str) -> Column:
+    """An order of parts by size, then by class."""
+    a, b = _field(x, "part"), _field(y, "part")
+    return (a < b) | ((a == b) & (F.col(f"{x}.id") < F.col(f"{y}.id")))
 
 
 def admitted(x: str, y: str, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
-    """Can postings x and y, with equal runs, belong to a pair whose first common run this is?
+    """Can postings x and y, with equal keys, belong to parts of a pair whose first common run this is?
 
-    Length: the sizes' ratio is at least p/q. Position: what follows in both sets
-    is enough for the overlap. Sketch: the symmetric difference isn't too large.
+    Length: the sizes' ratio is at least p/q, for the whole and for the part.
+    Position: what follows in both parts is enough for the overlap. Sketch: the
+    symmetric difference isn't too large. One of them is posted at its own level.
     """
-    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    size_x, size_y, a, b = _field(x, "size"), _field(y, "size"), _field(x, "part"), _field(y, "part")
     need = needed(a, b, p, q)
     differ = sum((F.bit_count(F.col(f"{x}.s{w}").bitwiseXOR(F.col(f"{y}.s{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    return (q * b >= p * a) & (q * a >= p * b) & (F.least(a - F.col(f"{x}.pos"), b - F.col(f"{y}.pos")) >= need) & (differ <= a + b - 2 * need)
+    lengths = (q * size_y >= p * size_x) & (q * size_x >= p * size_y) & (q * b >= p * a) & (q * a >= p * b)
+    places = F.least(a - _field(x, "pos"), b - _field(y, "pos")) >= need
+    return (differ <= a + b - 2 * need) & places & lengths & (_field(x, "own") + _field(y, "own") > 0)
+
+
+def candidates(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
+    """``id_x, id_y``: each pair of different classes that some postings admit once, in the order of the sides."""
+    met = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & admitted("x", "y"))
+    for condition in more:
+        met = met.where(condition)
+    return met.select(F.col("x.id").alias("id_x"), F.col("y.id").alias("id_y")).distinct()
