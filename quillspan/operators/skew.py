@@ -88,3 +88,31 @@ def split_ranks(rows: DataFrame, group: str, values: list[str], most: int = 200_
         ranked = ranked.select(group, v, (F.col("_base") + F.col("_inside")).alias(f"above_{v}"), F.col("_ties").alias(f"ties_{v}"))
         hot = hot.join(ranked, [group, v])
     return out.unionByName(hot.select(*out.columns))
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, str], most: int = 1_000_000, parts: int = 256) -> DataFrame:
+    """Add ``rn`` (from 1 on), ``n`` and running sums (new name: column) in the given order, without a task that holds a whole large group.
+
+    ``order`` must be a total order of the rows of a group. Up to ``most`` rows in
+    all, plain windows do. Beyond, rows are dealt to ranges of (group, order), each
+    range is summed by itself and starts with what the ranges before it hold.
+    """
+    whole = Window.partitionBy(*group)
+    if rows.count() <= most:
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("rn", F.row_number().over(whole.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(whole))
+        for name, c in sums.items():
+            out = out.withColumn(name, F.sum(c).over(upto))
+        return out
+    from quillspan.session import materialize
+
+    ranged = materialize(rows.repartitionByRange(parts, *group, *order).withColumn("_r", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rn"), F.sum("_n").over(whole).alias("n"), *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    inside = Window.partitionBy(*group, "_r").orderBy(*order)
+    out = ranged.withColumn("_i", F.row_number().over(inside))
+    for name, c in sums.items():
+        out = out.withColumn(f"_s_{name}", F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(starts, [*group, "_r"])
+    return out.select(*rows.columns, (F.col("_rn") + F.col("_i")).cast("int").alias("rn"), "n", *[(F.col(f"_b_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums])
