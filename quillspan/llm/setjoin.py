@@ -40,7 +40,7 @@ PART = 4096
 WORDS = 4
 #: A set of up to FIRST runs is whole, one of up to 4 FIRST is cut into 4 parts, of up to 16 FIRST into 16, and so on.
 FIRST = 128
-_KEY, _BIN, _CUT = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x5851F42D4C957F2D, 0xA24BAED4963EE407))
+_KEY, _BIN, _CUT = 0xD6E8FEB86659FD93, np.uint64(0x5851F42D4C957F2D), np.uint64(0xA24BAED4963EE407)
 
 
 def text_sets(texts: DataFrame, keys: list[str], text: str, space: str | None = None, n: int = RUN) -> DataFrame:
@@ -178,7 +178,7 @@ def postings(classes: DataFrame, counts: Broadcast, *, bits: int = BUCKET_BITS,
                     elif times.max() > 1:
                         listed = (mix(ids[some][row]) >> np.uint64(1)).astype(np.int64) % times
                     at = some[row]
-                    key = mix(gram.view(np.uint64) ^ _KEY * np.uint64(level + 1)) ^ mix(listed) * (listed > 0)
+                    key = mix(gram.view(np.uint64) ^ np.uint64(_KEY * (level + 1) % 2**64)) ^ mix(listed) * (listed > 0)
                     meta = (size[at].astype(np.int64) << 33) | ((own[at] == level).astype(np.int64) << 32) | (of << 16) | pos
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(meta), pa.array(ids[at]), *[pa.array(np.ascontiguousarray(sketches[:, w])) for w in range(WORDS)]], names=["key", "meta", "id", *[f"s{w}" for w in range(WORDS)]]
