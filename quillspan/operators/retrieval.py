@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import long_words, words
 from quillspan.operators.skew import lookup
+from quillspan.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
@@ -145,25 +146,58 @@ def fuse(dense: DataFrame, lexical: DataFrame, passages: DataFrame, questions: D
     return rows.select("qid", "pid", F.col("d").alias("dense"), F.round("bm25", DIGITS).alias("bm25"), F.round(alpha * F.col("_d") + (1 - alpha) * F.col("bm25"), DIGITS).alias("hybrid"))
 
 
-def latent_vectors(passages: DataFrame, questions: DataFrame, dims: int = 64):
+def _gram_times(held: DataFrame, q: np.ndarray, fan_in: int = 16) -> np.ndarray:
+    """A'(A q) for the sparse rows ``v`` of ``held``: one pass; partitions' sums are merged in a tree."""
+    width, size = q.shape
+    sent = held.sparkSession.sparkContext.broadcast(q)
+
+    def part(frames):
+        from pyspark import TaskContext
+
+        out = np.zeros((width, size))
+        for frame in frames:
+            for row in frame["v"]:
+                at = np.array([e["j"] for e in row])
+                w = np.array([e["weight"] for e in row])
+                out[at] += w[:, None] * (w @ sent.value[at])
+        yield pd.DataFrame({"b": [TaskContext.get().partitionId()], "m": [out.tobytes()]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((width, size))
+        for m in frame["m"]:
+            total += np.frombuffer(m).reshape(width, size)
+        return pd.DataFrame({"b": [frame["b"].iloc[0]], "m": [total.tobytes()]})
+
+    parts = max(1, held.rdd.getNumPartitions())
+    sums = held.select("v").mapInPandas(part, "b long, m binary")
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        sums = sums.withColumn("b", F.floor(F.col("b") / fan_in)).groupBy("b").applyInPandas(merge, "b long, m binary")
+    rows = sums.collect()  # one matrix of the vocabulary by the dimensions
+    return sum((np.frombuffer(r["m"]).reshape(width, size) for r in rows), np.zeros((width, size)))
+
+
+def latent_vectors(passages: DataFrame, questions: DataFrame, dims: int = 64, rounds: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """``(pid vectors, qid vectors, k)``: truncated SVD of the TF-IDF matrix, rows scaled to length 1.
 
-    The term matrix V (vocabulary by dims) is the model: it is held by the driver
-    and sent to the workers, so ``dims`` times the vocabulary bounds its size.
+    Randomised: a random start of dims + 10 columns is multiplied by A'A and made
+    orthogonal ``rounds`` times, one pass over the passages each; the projected
+    problem is solved on the driver. The term matrix V (vocabulary by dims) is the
+    model: the driver holds it and the workers get it.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     counts = term_counts(passages, "pid", "text", long=True)
     terms = tfidf_terms(counts, passages.count())
-    numbered = terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("j"))  # the vocabulary, which V is indexed by
+    numbered = materialize(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("j")), "vocabulary")  # V is indexed by it
     width = numbered.count()
     held = tfidf_vectors(counts, terms, "pid").join(numbered, "term").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("v"))
     asked = tfidf_vectors(term_counts(questions, "qid", "question", long=True), terms, "qid").join(numbered, "term").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("v"))
-    held.persist()
+    held = materialize(held, "tfidf-rows")
     k = max(1, min(dims, held.count() - 1, width - 1))
-    matrix = RowMatrix(held.rdd.map(lambda r: Vectors.sparse(width, [x["j"] for x in r["v"]], [x["weight"] for x in r["v"]])))
-    v = matrix.computeSVD(k).V.toArray()
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, k + 10))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(_gram_times(held, q))[0]
+    values, vectors = np.linalg.eigh(q.T @ _gram_times(held, q))
+    v = q @ vectors[:, np.argsort(-values)[:k]]
     sent = passages.sparkSession.sparkContext.broadcast(v)
 
     def project(frame: DataFrame, key: str) -> DataFrame:
