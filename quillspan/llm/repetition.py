@@ -27,10 +27,10 @@ from quillspan.llm.chars import _kept, runs
 WIDTH, SHARE = 24, 0.3
 #: Documents that the field is fitted on, at most.
 SAMPLE = 2000
-_BREAKS = np.array(sorted(map(ord, "\n\r\v\f\x1c\x1d\x1e\x85  ")), dtype=np.uint32)
+_BREAKS = np.array(sorted(map(ord, "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029")), dtype=np.uint32)
 _STOPS = np.array(sorted(map(ord, ".!?")), dtype=np.uint32)
 _FULL_STOPS = np.array(sorted(map(ord, "。！？।؟")), dtype=np.uint32)
-_BLANKS = np.array(sorted(map(ord, " \t 　")), dtype=np.uint32)
+_BLANKS = np.array(sorted(map(ord, " \t\u00a0\u3000")), dtype=np.uint32)
 
 
 class Measured:
@@ -81,7 +81,10 @@ class Measured:
 
 def fit_lines(docs: DataFrame, key: str, text: str, sample: int = SAMPLE, width: int = WIDTH) -> Chain:
     """Fit the field on at most ``sample`` documents, those whose key has the lowest hash."""
-    rows = docs.where(F.length(text) > 0).select(key, F.col(text).alias("_t")).orderBy(F.xxhash64(key), key).limit(sample).select("_t").collect()
+    texts = docs.where(F.length(text) > 0)
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    few = int(min(1.0, 2.0 * sample / max(texts.count(), 1)) * (1 << 30))  # about twice the sample, so that no partition sends a whole one
+    rows = texts.where(h < few).select(h.alias("_h"), key, F.col(text).alias("_t")).orderBy("_h", key).limit(sample).select("_t").collect()
     measured = [Measured(r["_t"], width) for r in rows]
     return fit([m.features() for m in measured], [m.labels() for m in measured], rounds=80)
 
