@@ -54,6 +54,11 @@ def any_null(*columns: str) -> Column:
     return out
 
 
+def _at_least(array: str, value: str) -> Column:
+    """How many elements of the array are at least the value."""
+    return F.size(F.filter(array, lambda c: c >= F.col(value)))
+
+
 def split_ranks(rows: DataFrame, group: str, values: list[str], most: int = 200_000, splits: int = 512) -> DataFrame:
     """Add ``n`` (rows of the group) and, for each of ``values``, ``above_<value>`` and ``ties_<value>``: how many rows of the group have a greater value, and the same.
 
@@ -79,7 +84,7 @@ def split_ranks(rows: DataFrame, group: str, values: list[str], most: int = 200_
     for v in values:
         cuts = hot.groupBy(group).agg(F.percentile_approx(v, F.array(*map(F.lit, at)), F.lit(20 * splits)).alias("_cuts"))
         counted = hot.groupBy(group, v).agg(F.count(F.lit(1)).alias("_ties")).join(cuts, group)
-        counted = counted.withColumn("_range", F.size(F.filter("_cuts", lambda c, v=v: c >= F.col(v)))).drop("_cuts")
+        counted = counted.withColumn("_range", _at_least("_cuts", v)).drop("_cuts")
         ranges = counted.groupBy(group, "_range").agg(F.sum("_ties").alias("_in"))
         before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.select(group, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"))

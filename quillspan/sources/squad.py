@@ -6,9 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "data array<struct<title: string, paragraphs: array<struct<context: string, qas: array<struct<id: string, question: string, answers: array<struct<text: string>>, is_impossible: boolean>>>>>>"
 )
 PASSAGES = "pid bigint, article string, para_idx int, text string"
@@ -35,9 +34,10 @@ def flatten(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     paragraphs = articles.select(F.col("title").alias("article"), F.posexplode("paragraphs").alias("para_idx", "p"))
     sizes = paragraphs.groupBy("article").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(Window.orderBy("article").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a title
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(Window.orderBy("article").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("article").alias("_title"), "_start")  # a row a title
     w = Window.partitionBy("article").orderBy("para_idx")
-    numbered = paragraphs.withColumn("_k", F.row_number().over(w) - 1).join(starts, F.col("article").eqNullSafe(starts["article"])).select((F.col("_start") + F.col("_k")).alias("pid"), paragraphs["article"], "para_idx", "p")
+    numbered = paragraphs.withColumn("_k", F.row_number().over(w) - 1).join(starts, F.col("article").eqNullSafe(F.col("_title")))
+    numbered = numbered.select((F.col("_start") + F.col("_k")).alias("pid"), "article", "para_idx", "p")
     passages = numbered.select("pid", "article", "para_idx", F.col("p.context").alias("text"))
     asked = numbered.select("pid", "article", F.explode("p.qas").alias("q"))
     answers = F.array_sort(F.array_distinct(F.transform(F.coalesce("q.answers", F.array().cast("array<struct<text: string>>")), lambda a: a["text"])))

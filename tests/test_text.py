@@ -15,7 +15,7 @@ from quillspan.functions import text as T
         (None, [], True, 0.0, 0.0, True),
         ("  ", None, True, 0.0, 0.0, True),
         ("x", None, True, 0.0, 0.0, False),
-        ("a a b", ["a b b"], False, 0.0, 1.0, True),
+        ("x x b", ["x b b"], False, 0.0, 2 / 3, True),
         ("big big dog", ["big dog dog cat"], False, 0.0, 4 / 7, True),
         ("dog", [None, "cat"], False, 0.0, 0.0, False),
         ("the", ["an"], False, 1.0, 1.0, True),
