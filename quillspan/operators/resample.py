@@ -6,8 +6,11 @@ on partitions or engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ PARTS = ("reader_train", "rel_train", "rel_calib", "test")
 
 def draws(groups: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
     """``rep, slot, group``: for each replicate as many groups as there are, drawn with replacement."""
-    numbered = groups.select(group).distinct().withColumn("_k", F.row_number().over(Window.orderBy(group)) - 1)  # groups are articles: few beside the rows
+    numbered = groups.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_k", F.row_number().over(Window.orderBy(group)) - 1)  # groups are articles: few beside the rows
     n = numbered.count()
     spark = groups.sparkSession
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
@@ -33,13 +36,63 @@ def resample(scored: DataFrame, reps: int, seed: int) -> DataFrame:
     return picked.join(scored, "article").select("rep", "method", "article", "risk", "correct", F.struct("slot", "ord").alias("ord"))
 
 
-def replicate_metric(replicates: DataFrame, metric: str) -> DataFrame:
-    """``rep, method, value`` of AURC or error AUC; all replicates and methods in one plan."""
-    keyed = replicates.withColumn("_m", F.struct("rep", "method"))
+#: Scored rows up to which the replicates are computed from a copy in each worker (about 40 bytes a row).
+SMALL = 1_000_000
+
+
+def _replicates_of_small(scored: DataFrame, metric: str, reps: int, seed: int) -> DataFrame:
+    """:func:`replicate_metric` for a table that a worker can hold: the same draws, one replicate after another in arrays."""
+    rows = scored.where("article IS NOT NULL").orderBy("method", "ord").select("method", "article", "risk", "correct").toPandas()
+    names, article = np.unique(rows["article"].to_numpy(dtype=object), return_inverse=True) if len(rows) else ([], np.zeros(0, int))
+    held = {}
+    for m, at in rows.groupby("method", sort=True).indices.items():
+        at = np.sort(at)
+        by_article = at[np.argsort(article[at], kind="stable")]
+        held[m] = (rows["risk"].to_numpy()[by_article], 1 - rows["correct"].to_numpy()[by_article], np.searchsorted(article[by_article], np.arange(len(names) + 1)))
+    sent, n = scored.sparkSession.sparkContext.broadcast(held), len(names)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for rep in frame["id"].tolist():
+                picks = np.array([int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)], dtype=np.int64)
+                for m, (risk, wrong, starts) in sent.value.items():
+                    sizes = starts[picks + 1] - starts[picks]
+                    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[picks], sizes)
+                    order = np.argsort(risk[at], kind="stable")  # rows stand in the order of slots, and of ord in a slot
+                    r, w = risk[at][order], wrong[at][order]
+                    if metric == "aurc":
+                        value = float(np.mean(np.cumsum(w) / np.arange(1, len(w) + 1))) if len(w) else None
+                    else:
+                        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+                        bad = np.add.reduceat(w, first) if len(r) else w
+                        good = np.add.reduceat(1 - w, first) if len(r) else w
+                        pairs = good.sum() * bad.sum()
+                        value = float((bad * (np.cumsum(good) - good / 2)).sum() / pairs) if pairs else None
+                    if value is not None:
+                        out.append((rep, m, value))
+            yield pd.DataFrame(out, columns=["rep", "method", "value"])
+
+    spark = scored.sparkSession
+    return spark.range(0, reps, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, method string, value double")
+
+
+def replicate_metric(scored: DataFrame, metric: str, reps: int, seed: int, small: int = SMALL) -> DataFrame:
+    """``rep, method, value`` of AURC or error AUC over resampled articles.
+
+    Up to ``small`` scored rows each worker gets a copy. Beyond, all replicates and
+    methods are one plan of joins; the AUC doesn't depend on order, so an article
+    that is drawn several times comes once with its number of draws, and its equal
+    risks are counted before.
+    """
+    if scored.count() <= small:
+        return _replicates_of_small(scored, metric, reps, seed)
     if metric == "aurc":
-        ranked = running(keyed.withColumn("_e", 1 - F.col("correct")), ["rep", "method"], ["risk", "ord"], {"errors": "_e"}, most=50_000_000)
+        ranked = running(resample(scored, reps, seed).withColumn("_e", 1 - F.col("correct")), ["rep", "method"], ["risk", "ord"], {"errors": "_e"}, most=50_000_000)
         return ranked.groupBy("rep", "method").agg(F.avg(F.col("errors") / F.col("rn")).alias("value"))
-    counts = replicates.groupBy("rep", "method", "risk").agg(F.sum("correct").alias("right"), F.sum(1 - F.col("correct")).alias("wrong"))
+    times = draws(scored, "article", reps, seed).groupBy("rep", "article").agg(F.count(F.lit(1)).alias("times"))
+    held = scored.groupBy("article", "method", "risk").agg(F.sum("correct").alias("right"), F.sum(1 - F.col("correct")).alias("wrong"))
+    counts = times.join(held, "article").groupBy("rep", "method", "risk").agg(F.sum(F.col("times") * F.col("right")).alias("right"), F.sum(F.col("times") * F.col("wrong")).alias("wrong"))
     w = Window.partitionBy("rep", "method").orderBy("risk").rowsBetween(Window.unboundedPreceding, 0)
     won = counts.withColumn("_w", F.col("wrong") * (F.sum("right").over(w) - F.col("right") / 2))
     sums = won.groupBy("rep", "method").agg(F.sum("_w").alias("won"), F.sum("right").alias("r"), F.sum("wrong").alias("w"))
@@ -48,13 +101,13 @@ def replicate_metric(replicates: DataFrame, metric: str) -> DataFrame:
 
 def bootstrap_interval(scored: DataFrame, metric: str, reps: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """``method, low, high, reps``: percentiles of the metric over resampled articles; replicates without a value don't count."""
-    values = replicate_metric(resample(scored, reps, seed), metric)
+    values = replicate_metric(scored, metric, reps, seed)
     return values.groupBy("method").agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 
 def paired_difference(scored: DataFrame, a: str, b: str, metric: str, reps: int = 1000, seed: int = 0) -> DataFrame:
     """``mean, low, high, excludes_zero`` of metric(a) - metric(b) on the same draws."""
-    values = replicate_metric(resample(scored.where(F.col("method").isin(a, b)), reps, seed), metric)
+    values = replicate_metric(scored.where(F.col("method").isin(a, b)), metric, reps, seed)
     both = values.groupBy("rep").agg(F.max(F.when(F.col("method") == a, F.col("value"))).alias("x"), F.max(F.when(F.col("method") == b, F.col("value"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     d = F.col("x") - F.col("y")
     out = both.agg(F.avg(d).alias("mean"), F.percentile(d, 0.025).alias("low"), F.percentile(d, 0.975).alias("high"))
@@ -63,8 +116,6 @@ def paired_difference(scored: DataFrame, a: str, b: str, metric: str, reps: int
 
 def bootstrap_statistic(scored: DataFrame, statistic: Callable, reps: int, seed: int) -> DataFrame:
     """``rep, value`` of any statistic of a pandas frame of rows: the seam for metrics of one's own. One task a replicate."""
-    import pandas as pd
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"rep": [frame["rep"].iloc[0]], "value": [float(statistic(frame))]})
 

@@ -7,6 +7,8 @@ ranked, and ties go to the lower ``pid``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,23 +80,50 @@ def allowed(q_article: Column, q_gold: Column, article: Column, pid: Column) ->
     return q_article.isNull() | article.isNull() | (article != q_article) | pid.eqNullSafe(q_gold)
 
 
-def score(asked: DataFrame, postings: DataFrame, questions: DataFrame, masked: bool = True) -> DataFrame:
-    """``qid, pid, score``: sums of question weight times posting weight over equal terms.
+#: Questions that meet the passages at once, and passages of one shard: their product bounds the pairs a task holds.
+BLOCK, SHARD = 10_000, 500
+
+
+def _sharded(postings: DataFrame, passages: DataFrame) -> DataFrame:
+    """Postings by passage, in shards of at most about SHARD passages, written once for all blocks of questions."""
+    parts = max(2 * postings.sparkSession.sparkContext.defaultParallelism, -(-passages.count() // SHARD))
+    return materialize(postings, "postings").repartition(parts, "pid")
+
+
+def _pairs(asked: DataFrame, shards: DataFrame, questions: DataFrame, on: list[str], sums: dict[str, Column], masked: bool) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each block of questions: the block (``q, qid, article, gold_pid``) and its pairs ``q, pid`` with the sums.
+
+    The block's terms are broadcast (BLOCK questions) and meet the postings shard by
+    shard, so that all terms of a pair meet in one task and the sums need no
+    shuffle; no pair without a common term is looked at.
+    """
+    n = -(-questions.count() // BLOCK) or 1
+    held = materialize(questions.select("qid", "article", "gold_pid").withColumn("q", F.monotonically_increasing_id()).withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(n))), "asked")
+    terms = materialize(asked.join(held, "qid").select("_b", "q", F.col("article").alias("q_article"), "gold_pid", *on, F.col("weight").alias("q_weight")), "asked-terms")
+    for b in range(n):
+        rows = shards.join(F.broadcast(terms.where(F.col("_b") == b).drop("_b")), on)
+        if masked:
+            rows = rows.where(allowed(F.col("q_article"), F.col("gold_pid"), F.col("article"), F.col("pid")))
+        yield held.where(F.col("_b") == b).drop("_b"), rows.groupBy("pid", "q").agg(*[F.round(F.sum(c), DIGITS).alias(name) for name, c in sums.items()])
+
+
+def score(asked: DataFrame, postings: DataFrame, questions: DataFrame, passages: DataFrame, masked: bool = True, k: int | None = None) -> DataFrame:
+    """``qid, pid, score`` (and ``rank``, if the ``k`` best are asked for): sums of question weight times posting weight over equal terms.
 
     ``asked`` has ``qid, term, weight``; ``questions`` ``qid, article, gold_pid``.
-    An equi-join on the term and a partial aggregation: no pair without a common
-    term is looked at. Frequent terms are the hot keys, which AQE splits.
     """
-    a = asked.join(questions.select("qid", F.col("article").alias("q_article"), "gold_pid"), "qid")
-    rows = a.alias("a").join(postings.alias("p"), "term")
-    if masked:
-        rows = rows.where(allowed(F.col("a.q_article"), F.col("a.gold_pid"), F.col("p.article"), F.col("p.pid")))
-    return rows.groupBy("qid", "pid").agg(F.round(F.sum(F.col("a.weight") * F.col("p.weight")), DIGITS).alias("score"))
+    out = None
+    for block, pairs in _pairs(asked, _sharded(postings, passages), questions, ["term"], {"score": F.col("q_weight") * F.col("weight")}, masked):
+        if k is not None:
+            pairs = top(pairs, k, group="q")
+        named = pairs.join(block.select("q", "qid"), "q").drop("q")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
-def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
+def top(scored: DataFrame, k: int, by: str = "score", group: str = "qid") -> DataFrame:
     """The k best passages of each question with ``rank`` from 1 on."""
-    w = Window.partitionBy("qid").orderBy(F.desc(by), "pid")
+    w = Window.partitionBy(group).orderBy(F.desc(by), "pid")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -103,47 +132,61 @@ def askable(questions: DataFrame) -> DataFrame:
     return questions.select("qid", "article", "gold_pid", "question").where("qid IS NOT NULL AND question IS NOT NULL").distinct()
 
 
-def bm25(passages: DataFrame, questions: DataFrame, masked: bool = True) -> DataFrame:
+def bm25(passages: DataFrame, questions: DataFrame, masked: bool = True, k: int | None = None) -> DataFrame:
     """BM25 scores of every allowed passage that shares a word with the question; repeated question words count again."""
     asked = term_counts(questions, "qid", "question").select("qid", "term", F.col("tf").cast("double").alias("weight"))
-    return score(asked, bm25_postings(passages), questions, masked)
+    return score(asked, bm25_postings(passages), questions, passages, masked, k)
 
 
-def tfidf_cosine(passages: DataFrame, questions: DataFrame, masked: bool = True) -> DataFrame:
+def tfidf_cosine(passages: DataFrame, questions: DataFrame, masked: bool = True, k: int | None = None) -> DataFrame:
     """Cosines of the TF-IDF vectors of questions and allowed passages, where they share a term."""
     counts = term_counts(passages, "pid", "text", long=True)
     terms = tfidf_terms(counts, passages.count())
     held = tfidf_vectors(counts, terms, "pid").join(passages.select("pid", "article"), "pid")
     asked = tfidf_vectors(term_counts(questions, "qid", "question", long=True), terms, "qid")
-    return score(asked, held, questions, masked)
+    return score(asked, held, questions, passages, masked, k)
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, passages: DataFrame, questions: DataFrame, alpha: float = 0.5, masked: bool = True) -> DataFrame:
-    """``qid, pid, dense, bm25, hybrid``: both scores scaled to 0..1 over a question's allowed passages and mixed.
+def hybrid(passages: DataFrame, questions: DataFrame, k: int, alpha: float = 0.5, masked: bool = True) -> DataFrame:
+    """``qid, rank, pid, dense, bm25, hybrid``: the k best by the mixture of both scores, each scaled to 0..1 over a question's allowed passages.
 
     A passage that shares no word scores 0 in both; it takes part in the minimum
     without being listed. ``dense`` is the raw cosine, ``bm25`` the scaled score.
+    Both kinds of posting are summed in one pass; the limits of a block's scores
+    come from a pass of their own, which sends a row a question.
     """
-    both = dense.select("qid", "pid", F.col("score").alias("d")).join(lexical.select("qid", "pid", F.col("score").alias("l")), ["qid", "pid"], "full").na.fill(0.0, ["d", "l"])
+    words_ = F.lit("w").alias("kind")
+    vectors = F.lit("v").alias("kind")
+    counts = materialize(term_counts(passages, "pid", "text", long=True), "term-counts")
+    terms = tfidf_terms(counts, passages.count())
+    held = bm25_postings(passages).select("pid", "article", words_, "term", "weight").unionByName(tfidf_vectors(counts, terms, "pid").join(passages.select("pid", "article"), "pid").select("pid", "article", vectors, "term", "weight"))
+    asked = term_counts(questions, "qid", "question").select("qid", words_, "term", F.col("tf").cast("double").alias("weight"))
+    asked = asked.unionByName(tfidf_vectors(term_counts(questions, "qid", "question", long=True), terms, "qid").select("qid", vectors, "term", "weight"))
+    product = F.col("q_weight") * F.col("weight")
+    sums = {c: F.when(F.col("kind") == kind, product).otherwise(0.0) for c, kind in (("d", "v"), ("l", "w"))}
+    size = _valid_passages(passages, questions, masked)
+    out = None
+    for block, pairs in _pairs(asked, _sharded(held, passages), questions, ["kind", "term"], sums, masked):
+        limits = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"{n}_{c}") for c in "dl" for n, f in (("low", F.min), ("high", F.max))])
+        limits = limits.join(block, "q").join(size, "qid").select("q", "qid", "high_d", "high_l", *[F.when(F.col("_n") < F.col("_valid"), F.least(F.lit(0.0), f"low_{c}")).otherwise(F.col(f"low_{c}")).alias(f"low_{c}") for c in "dl"])
+        rows = pairs.join(F.broadcast(limits), "q")  # a row a question of the block
+        scaled = {c: (F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}") + F.lit(1e-9)) for c in "dl"}
+        rows = rows.select("qid", "pid", F.col("d").alias("dense"), F.round(scaled["l"], DIGITS).alias("bm25"), F.round(alpha * scaled["d"] + (1 - alpha) * scaled["l"], DIGITS).alias("hybrid"))
+        best = top(rows, k, "hybrid")
+        out = best if out is None else out.unionByName(best)
+    return out.select("qid", "rank", "pid", "dense", "bm25", "hybrid")
+
+
+def _valid_passages(passages: DataFrame, questions: DataFrame, masked: bool) -> DataFrame:
+    """``qid, _valid``: how many passages the question may find."""
     n = passages.count()
-    if masked:
-        own = passages.where("article IS NOT NULL").groupBy("article").agg(F.count(F.lit(1)).alias("_own"))
-        gold = passages.select(F.col("pid").alias("gold_pid"), F.col("article").alias("_gold_article"))
-        size = questions.join(own, "article", "left").join(gold, "gold_pid", "left")
-        hidden = F.coalesce("_own", F.lit(0)) - F.when(F.col("_gold_article") == F.col("article"), 1).otherwise(0)
-        size = size.select("qid", (F.lit(n) - hidden).alias("_valid"))
-    else:
-        size = questions.select("qid", F.lit(n).alias("_valid"))
-    rows = both.join(size, "qid")
-    w = Window.partitionBy("qid")
-    listed = F.count(F.lit(1)).over(w)
-
-    def scaled(c: str) -> Column:
-        low = F.when(listed < F.col("_valid"), F.least(F.lit(0.0), F.min(c).over(w))).otherwise(F.min(c).over(w))
-        return (F.col(c) - low) / (F.max(c).over(w) - low + F.lit(1e-9))
-
-    rows = rows.withColumn("_d", scaled("d")).withColumn("bm25", scaled("l"))
-    return rows.select("qid", "pid", F.col("d").alias("dense"), F.round("bm25", DIGITS).alias("bm25"), F.round(alpha * F.col("_d") + (1 - alpha) * F.col("bm25"), DIGITS).alias("hybrid"))
+    if not masked:
+        return questions.select("qid", F.lit(n).alias("_valid"))
+    own = passages.where("article IS NOT NULL").groupBy("article").agg(F.count(F.lit(1)).alias("_own"))
+    gold = passages.select(F.col("pid").alias("gold_pid"), F.col("article").alias("_gold_article"))
+    size = questions.join(own, "article", "left").join(gold, "gold_pid", "left")
+    hidden = F.coalesce("_own", F.lit(0)) - F.when(F.col("_gold_article") == F.col("article"), 1).otherwise(0)
+    return size.select("qid", (F.lit(n) - hidden).alias("_valid"))
 
 
 def _gram_times(held: DataFrame, q: np.ndarray, fan_in: int = 16) -> np.ndarray:

@@ -92,26 +92,21 @@ def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieve_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The five best passages of each question by BM25, without siblings of its article."""
-    return retrieval.top(retrieval.bm25(_corpus(spark, folder), _askable(spark, folder)), 5).select("qid", "rank", "pid", "score")
+    return retrieval.bm25(_corpus(spark, folder), _askable(spark, folder), k=5).select("qid", "rank", "pid", "score")
 
 
 def retrieve_unmasked(spark: SparkSession, folder: str) -> DataFrame:
     """The same over all passages, as for a user's question."""
-    return retrieval.top(retrieval.bm25(_corpus(spark, folder), _askable(spark, folder), masked=False), 5).select("qid", "rank", "pid", "score")
+    return retrieval.bm25(_corpus(spark, folder), _askable(spark, folder), masked=False, k=5).select("qid", "rank", "pid", "score")
 
 
 def retrieve_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.top(retrieval.tfidf_cosine(_corpus(spark, folder), _askable(spark, folder)), 5).select("qid", "rank", "pid", "score")
-
-
-def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    c, q = _corpus(spark, folder), _askable(spark, folder)
-    return retrieval.fuse(retrieval.tfidf_cosine(c, q), retrieval.bm25(c, q), c, q)
+    return retrieval.tfidf_cosine(_corpus(spark, folder), _askable(spark, folder), k=5).select("qid", "rank", "pid", "score")
 
 
 def retrieve_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty best passages by the mixture of both scores."""
-    return retrieval.top(_hybrid(spark, folder), 20, "hybrid").select("qid", "rank", "pid", "dense", "bm25", "hybrid")
+    return retrieval.hybrid(_corpus(spark, folder), _askable(spark, folder), 20)
 
 
 def retrieve_latent(spark: SparkSession, folder: str) -> DataFrame:

@@ -97,3 +97,12 @@ def test_histogram_and_intervals(spark):
     assert [(r["bin"], r["n"], r["density"]) for r in out] == [(0, 1, 1.0), (2, 1, 1.0), (3, 2, 2.0)]
     signs = spark.createDataFrame([(-2.0, -1.0), (-1.0, 1.0)], "lo double, hi double").select(metrics.excludes_zero(F.col("lo"), F.col("hi"))).collect()
     assert [r[0] for r in signs] == [True, False]
+
+
+@pytest.mark.parametrize("metric", ["aurc", "auc"])
+def test_replicates_of_small_and_large_tables_agree(spark, metric):
+    rows = [("m" if k % 2 else "k", k, f"a{k % 5}" if k % 17 else None, float(k * 7 % 6), float(k % 3 > 0)) for k in range(120)]
+    frame = spark.createDataFrame(rows, "method string, ord int, article string, risk double, correct double")
+    one = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, metric, 12, 5).collect()}
+    two = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, metric, 12, 5, small=0).collect()}
+    assert one.keys() == two.keys() and len(one) == 24 and all(one[k] == pytest.approx(two[k]) for k in one)

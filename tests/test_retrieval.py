@@ -47,10 +47,10 @@ def R_words(text):
 
 def test_top_is_descending_and_stable(spark, passages):
     q = ask(spark, "what sat on the mat")
-    rows = R.top(R.fuse(R.tfidf_cosine(passages, q), R.bm25(passages, q), passages, q), 3, "hybrid").orderBy("rank").collect()
+    rows = R.hybrid(passages, q, 3).orderBy("rank").collect()
     scores = [r["hybrid"] for r in rows]
     assert len(rows) == 3 and scores == sorted(scores, reverse=True) and rows[0]["pid"] == 0
-    again = R.top(R.fuse(R.tfidf_cosine(passages, q), R.bm25(passages, q), passages, q), 3, "hybrid").orderBy("rank").collect()
+    again = R.hybrid(passages, q, 3).orderBy("rank").collect()
     assert rows == again
 
 
