@@ -97,7 +97,7 @@ def run_counts(classes: DataFrame, bits: int = BUCKET_BITS) -> Broadcast:
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], type=pa.int32()), "counts": pa.array([counts[b << 10 : (b + 1) << 10].tolist()], type=pa.list_(pa.int64()))})
 
     partial = classes.select("grams").mapInArrow(run, "block int, counts array<bigint>")
-    total = partial.select("block", F.posexplode("counts").alias("at", "n")).groupBy("block", "at").agg(F.sum("n").alias("n")).where("n > 0")
+    total = partial.select("block", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("block", "at").agg(F.sum("n").alias("n"))
     table = np.zeros(1 << bits, dtype=np.uint32)
     frame = total.select((F.col("block") * 1024 + F.col("at")).alias("bucket"), F.least("n", F.lit(2**32 - 1)).alias("n")).toPandas()
     table[frame["bucket"].to_numpy()] = frame["n"].to_numpy()
