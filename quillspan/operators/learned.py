@@ -79,6 +79,23 @@ def load_risk_model(path: str, columns: list[str] | None = None) -> RiskModel:
     return out
 
 
+#: What each method is.
+METHODS = {
+    "B1": "always answer",
+    "B2": "span probability alone",
+    "B3": "first retrieval score alone",
+    "B4": "null score alone",
+    "B5": "calibrated risk from the reader's signals",
+    "P1": "calibrated risk from all sixteen signals",
+}
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Add ``description`` to rows with a ``method``; unknown methods have none."""
+    names = rows.sparkSession.createDataFrame(list(METHODS.items()), "method string, description string")
+    return rows.join(F.broadcast(names), "method", "left")  # six rows
+
+
 def closed_methods(rows: DataFrame) -> DataFrame:
     """``method, ord, article, risk, correct`` of the four methods without a model: always answer, span probability, first score, null score."""
     risks = {"B1": F.lit(0.0), "B2": -F.col("d_span_prob"), "B3": -F.col("r_sim_top1"), "B4": F.col("d_null_score")}

@@ -167,6 +167,11 @@ def split_faults(split: DataFrame, articles: DataFrame) -> DataFrame:
     return every.join(n, "article", "full").select("article", F.coalesce("parts", F.lit(0)).alias("parts")).where("parts <> 1")
 
 
+def shared_articles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Articles that two corpora have in common; empty if one can test what the other taught."""
+    return a.select("article").where("article IS NOT NULL").distinct().join(b.select("article").distinct(), "article", "left_semi")
+
+
 def shuffled(rows: DataFrame, column: str, order: list[str], seed: int) -> DataFrame:
     """``column`` dealt anew: the row at place k in ``order`` gets the value of the row at place k by draws."""
     keyed = rows.withColumn("_g", F.lit(0)).withColumn("_d", hash_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))

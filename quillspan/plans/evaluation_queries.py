@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.operators import ask, learned, metrics, resample, signals
 from quillspan.plans.corpus_queries import QTYPE
+from quillspan.session import materialize
 from quillspan.sources.tables import table
 
 REPS, SEED = 50, 7
@@ -24,7 +25,7 @@ pa AS (SELECT *, list_filter(string_split({NORM('pred')}, ' '), lambda x: x <> '
 f1s AS (SELECT *, coalesce(list_max(list_transform(list_transform(coalesce(answers, []), lambda g: list_filter(string_split({NORM('g')}, ' '), lambda x: x <> '')), lambda g:
   CASE WHEN len(pt) = 0 OR len(g) = 0 THEN CASE WHEN len(pt) = 0 AND len(g) = 0 THEN 1.0 ELSE 0.0 END
   ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(pt, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) / (len(pt) + len(g)) END)), 0) AS f1,
-  CASE WHEN len(list_filter(coalesce(answers, []), lambda g: {NORM('g')} = {NORM('pred')})) > 0 THEN 1.0 ELSE 0.0 END AS em FROM pa),
+  CASE WHEN len(list_filter(coalesce(answers, []), lambda g: {NORM('g')} = {NORM('pred')})) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em FROM pa),
 lab AS (SELECT *, CAST(CASE WHEN coalesce(is_impossible, false) THEN {BLANK('pred')} ELSE NOT {BLANK('pred')} AND f1 >= 0.5 END AS DOUBLE) AS correct, {ORD} AS ord FROM f1s)"""
 SCORED = f"""{PREDS}, sc AS (SELECT 'B1' AS method, ord, article, 0.0 AS risk, correct FROM lab UNION ALL SELECT 'B2', ord, article, -({FIN('d_span_prob')}), correct FROM lab
 UNION ALL SELECT 'B3', ord, article, -({FIN('r_sim_top1')}), correct FROM lab UNION ALL SELECT 'B4', ord, article, {FIN('d_null_score')}, correct FROM lab)"""
@@ -240,8 +241,9 @@ def log_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _by_part(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled predictions with ``error`` and ``part``."""
-    return _labelled(spark, folder).withColumn("error", 1 - F.col("correct")).join(table(spark, folder, "article_split"), "article")
+    """Labelled predictions with ``error`` and ``part``, written once: every fit of a query reads them."""
+    rows = _labelled(spark, folder).withColumn("error", 1 - F.col("correct")).join(table(spark, folder, "article_split"), "article")
+    return materialize(rows, "labelled")
 
 
 def _model_scores(rows: DataFrame, name: str, columns: list[str], label: str = "error", calibrated: bool = True) -> DataFrame:
@@ -284,6 +286,7 @@ def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _by_part(spark, folder)
     model = learned.RiskModel(iterations=5).fit(rows.where("part = 'rel_train'")).calibrate(rows.where("part = 'rel_calib'"))
     test = rows.where("part = 'test'").withColumn("key", F.concat_ws("/", "ord.a", "ord.b", "ord.c", "ord.d", "ord.e")).select("key", "ord", "article", "correct", *signals.SIGNALS)
+    test = materialize(test, "test-part")
     out = test.withColumn("method", F.lit("none/0"))
     for s in signals.SIGNALS:
         for k in range(2):

@@ -68,3 +68,36 @@ def test_assembly_checks_names(spark):
     c = spark.createDataFrame([], ", ".join(["qid string", *[f"{c} double" for c in signals.AGREEMENT]]))
     row = signals.assemble(a, b, c).first().asDict()
     assert list(row)[1:] == signals.SIGNALS and row["d_null_score"] == 1.0 and row["a_n_nonnull"] == 0
+
+
+def test_end_to_end(spark, tmp_path):
+    import json
+
+    from quillspan.operators import retrieval
+
+    names = ["Vale", "Ines", "Ruiz", "Dean", "Kell", "Moss"]
+    places = ["harbour", "tower", "mill", "bridge", "market", "school"]
+    ps = [(k, f"art{k // 3}", f"{n} painted the {p} in {1400 + 10 * k}. The {p} stood near the river. Later it burned.") for k, (n, p) in enumerate((n, p) for n in names for p in places)]
+    qs = [(f"q{k}", f"art{k // 3}", k, f"Who painted the {places[k % 6]} in {1400 + 10 * k}?" if k % 4 else f"Who sold the {places[k % 6]}?", [names[k // 6]] if k % 4 else [], k % 4 == 0) for k in range(36)]
+    p = retrieval.corpus(spark.createDataFrame(ps, "pid long, article string, text string"))
+    q = spark.createDataFrame(qs, "qid string, article string, gold_pid long, question string, answers array<string>, is_impossible boolean")
+    reader = learned.Reader(retrieval.idf(p), per_positive=10, iterations=3).fit(q, p)
+    answered = ask.answer(q.select("qid", "article", "gold_pid", "question"), p, reader).persist()
+    rows = answered.collect()
+    assert len(rows) == 36 and all(r[c] is not None and math.isfinite(r[c]) for r in rows for c in signals.SIGNALS)
+    assert all(0 <= r["d_span_prob"] <= 1 and 0 <= r["d_null_score"] <= 1 and r["retrieved"] for r in rows)
+    labelled = answered.withColumn("error", (F.col("d_span_len") > 1).cast("double"))
+    risk = learned.RiskModel(iterations=2).fit(labelled).calibrate(labelled)
+    user = spark.createDataFrame([("u", "Who painted the tower?"), ("v", "zzz")], "qid string, question string")
+    got = {r["qid"]: r for r in ask.ask(user, p, reader, risk, 2.0).collect()}
+    assert got["u"]["answer"] == got["u"]["candidate"] and not got["u"]["abstained"] and got["u"]["passage"]
+    body = {r["qid"]: json.loads(r["body"]) for r in ask.as_json(ask.ask(user, p, reader, risk, -1.0)).collect()}
+    assert body["u"]["answer"] is None and body["u"]["abstained"] and len(body["u"]["features"]) == 16
+    ask.append_log(ask.ask(user, p, reader, risk, 0.5), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == len(got)
+    assert ask.unfinished(q, answered).count() == 0
+
+
+def test_descriptions(spark):
+    got = {r["method"]: r["description"] for r in learned.described(spark.createDataFrame([("B1",), ("zz",)], "method string")).collect()}
+    assert got == {"B1": "always answer", "zz": None}
