@@ -71,7 +71,8 @@ def _replicates_of_small(scored: DataFrame, metric: str, reps: int, seed: int) -
                         value = float((bad * (np.cumsum(good) - good / 2)).sum() / pairs) if pairs else None
                     if value is not None:
                         out.append((rep, m, value))
-            yield pd.DataFrame(out, columns=["rep", "method", "value"])
+            if out:
+                yield pd.DataFrame(out, columns=["rep", "method", "value"])
 
     spark = scored.sparkSession
     return spark.range(0, reps, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, method string, value double")
