@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import retrieval, signals, spans
+from quillspan.operators import learned, retrieval, signals, spans
 from quillspan.sources.tables import table
 
 W = r"[\p{L}\p{N}_]+"
@@ -160,6 +160,17 @@ def gold_spans(spark: SparkSession, folder: str) -> DataFrame:
     return q.join(texts, ["pid", "norm"]).groupBy("qid").agg(F.countDistinct("start", "len").alias("spans"), F.min("start").alias("first_start"))
 
 
+def training_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates that a span scorer would be fitted on, with five negatives for each positive, and their labels."""
+    c = _corpus(spark, folder)
+    toks = spans.tokens(c)
+    cands = spans.candidates(toks)
+    featured = spans.features(_asked(spark, folder), toks, retrieval.idf(c), cands)
+    gold = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: T.normalize_answer(a)), lambda a: a != "")
+    golds = table(spark, folder, "questions").where("qid IS NOT NULL").groupBy("qid").agg(F.max(F.coalesce("is_impossible", F.lit(False))).alias("is_impossible"), F.first(gold).alias("golds"))
+    return learned.training_spans(featured, spans.span_texts(cands, toks), golds, per_positive=5).select("qid", "pid", "start", "len", "label", F.round("weight", 6).alias("weight"))
+
+
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
     """The table retrieved with one row a question and rank."""
     return table(spark, folder, "retrieved").groupBy("qid", "rank").agg(F.min(F.struct("pid", "dense", "bm25", "hybrid")).alias("r")).select("qid", "rank", "r.*")
@@ -185,6 +196,12 @@ def mask_faults(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("p_article = article AND NOT (pid <=> gold_pid)").select("qid", "pid")
 
 
+_PUNCT = T.PUNCTUATION.replace("'", "''")
+NORM = lambda c: (
+    f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(translate(lower(coalesce({c}, '')), '{_PUNCT}', ''), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda t: CASE WHEN t IN ('a', 'an', 'the') THEN ' ' ELSE t END), ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+)
+CANDIDATES = """cand AS (SELECT a.pid, a.pos AS start, b.pos - a.pos + 1 AS len FROM tok a JOIN tok b ON a.pid = b.pid AND b.pos BETWEEN a.pos AND a.pos + 7 WHERE NOT a.is_edge AND NOT b.is_edge)"""
+
 SQL = {
     "corpus_stats": """SELECT p.*, q.*, round(unanswerable / greatest(questions, 1), 4) AS unanswerable_frac FROM (SELECT count(DISTINCT article) AS articles, count(DISTINCT pid) AS passages FROM passages) p,
       (SELECT count(*) AS questions, count(*) FILTER (WHERE f) AS unanswerable FROM (SELECT qid, max(is_impossible) AS f FROM questions GROUP BY 1)) q""",
@@ -223,11 +240,20 @@ SQL = {
       SELECT qid, round(h[1], 9) AS r_sim_top1, round(CASE WHEN len(h) > 1 THEN h[1] - h[2] ELSE h[1] END, 9) AS r_sim_margin, round(list_sum(h) / len(h), 9) AS r_sim_mean_k, round(-neg, 5) AS r_sim_entropy,
         round(CAST(len(list_filter(h, lambda x: x > 0.3)) AS DOUBLE), 5) AS r_n_above_tau, round(CASE WHEN len(cw) > 0 THEN len(list_filter(cw, lambda x: list_contains(lows, x))) / len(cw) ELSE 0 END, 5) AS r_lex_overlap,
         round(CAST(len(list_filter(regexp_split_to_array(question, '[\\s\\p{{Z}}]+'), lambda x: x <> '')) AS DOUBLE), 5) AS r_q_len FROM m""",
+    "gold_spans": f"""WITH {TOKENS}, {CANDIDATES}, tx AS (SELECT pid, start, len, {NORM("array_to_string(list_slice(a, start + 1, start + len), ' ')")} AS norm FROM cand JOIN t0 USING (pid)),
+      g AS (SELECT DISTINCT qid, pid, {NORM('gold')} AS norm FROM (SELECT qid, gold_pid AS pid, unnest(answers) AS gold FROM questions WHERE qid IS NOT NULL AND gold_pid IS NOT NULL AND answers IS NOT NULL))
+      SELECT qid, count(DISTINCT (start, len)) AS spans, min(start) AS first_start FROM g JOIN tx USING (pid, norm) WHERE norm <> '' GROUP BY 1""",
     "evidence": f"""WITH {CORPUS}, tx AS (SELECT pid, min(struct_pack(article := article, text := text)) AS t FROM c GROUP BY 1), r AS (SELECT qid, rank, min(struct_pack(pid := pid, dense := dense, bm25 := bm25, hybrid := hybrid)) AS s FROM retrieved GROUP BY 1, 2)
       SELECT qid, rank, s.pid AS pid, t.article AS article, round(s.hybrid, 6) AS score, substr(t.text, 1, 400) AS shown FROM r LEFT JOIN tx ON tx.pid = s.pid WHERE rank <= 5""",
     "mask_faults": "SELECT CAST(NULL AS VARCHAR) AS qid, CAST(NULL AS BIGINT) AS pid WHERE false",
 }
+SQL["training_spans"] = f"""WITH {TOKENS}, f AS ({SQL["span_features"]}), tx AS (SELECT pid, start, len, {NORM("array_to_string(list_slice(a, start + 1, start + len), ' ')")} AS norm FROM (SELECT DISTINCT pid, start, len FROM f) JOIN t0 USING (pid)),
+  g AS (SELECT qid, max(coalesce(is_impossible, false)) AS imp, list_filter(list_transform(coalesce(any_value(answers), []), lambda x: {NORM('x')}), lambda x: x <> '') AS golds FROM questions WHERE qid IS NOT NULL GROUP BY 1),
+  l AS (SELECT f.qid, f.pid, f.start, f.len, imp, golds, CAST(NOT imp AND list_contains(golds, norm) AS DOUBLE) AS label FROM f JOIN tx USING (pid, start, len) JOIN g USING (qid)),
+  o AS (SELECT *, sum(label) OVER (PARTITION BY qid) AS pos FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY ('0x' || substr(md5('0|' || qid || '|' || start || '|' || len), 1, 8))::BIGINT, start, len) AS k FROM o WHERE imp OR len(golds) = 0 OR pos > 0),
+  r AS (SELECT * FROM k WHERE label = 1 OR k <= 5 * greatest(pos, 1)), t AS (SELECT sum(label) AS p, count(*) AS n FROM r)
+  SELECT qid, pid, start, len, label, round(CASE WHEN label = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END, 6) AS weight FROM r, t"""
 QUERIES = [
     corpus_stats, term_idf, bm25_terms, tfidf_vectors, retrieve_bm25, retrieve_unmasked, retrieve_tfidf, retrieve_hybrid, retrieve_latent, gold_in_top, question_types,
-    span_tokens, span_candidates, sentence_overlap, span_features, gold_spans, retrieval_signals, evidence, mask_faults,
+    span_tokens, span_candidates, sentence_overlap, span_features, gold_spans, training_spans, retrieval_signals, evidence, mask_faults,
 ]

@@ -40,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if app not in _scratch:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.partition("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         _scratch[app] = f"{shared.rstrip('/')}/quillspan-{app}"

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from quillspan.operators import resample
-from quillspan.sources import squad
+from quillspan.sources import qa_json
 
 
 @pytest.fixture
@@ -17,49 +17,49 @@ def raw(tmp_path):
         {"title": "B", "paragraphs": [{"context": "b0", "qas": [qa(1, ["y", "x", "y"]), qa(2, [], is_impossible=True)]}, {"context": "", "qas": []}]},
         {"title": "A", "paragraphs": [{"context": "a0", "qas": [qa(3)]}, {"context": " ...", "qas": [qa(4, ["z"], is_impossible=False)]}]},
     ]
-    path = tmp_path / "squad.json"
+    path = tmp_path / "articles.json"
     path.write_text(json.dumps({"data": data}))
     return str(path)
 
 
 def test_flatten(spark, raw, tmp_path):
-    passages, questions = squad.build_corpus(spark, raw)
+    passages, questions = qa_json.build_corpus(spark, raw)
     assert [tuple(r) for r in passages.orderBy("pid").collect()] == [(0, "A", 0, "a0"), (1, "A", 1, " ..."), (2, "B", 0, "b0"), (3, "B", 1, "")]
     rows = {r["qid"]: r for r in questions.collect()}
     assert rows["q1"]["answers"] == ["x", "y"] and rows["q1"]["gold_pid"] == 2 and rows["q2"]["is_impossible"] and rows["q3"]["answers"] == [] and rows["q3"]["is_impossible"] is False
-    squad.save_corpus(passages, questions, str(tmp_path / "c"))
-    p, q = squad.load_corpus(spark, str(tmp_path / "c"))
+    qa_json.save_corpus(passages, questions, str(tmp_path / "c"))
+    p, q = qa_json.load_corpus(spark, str(tmp_path / "c"))
     assert sorted(p.collect()) == sorted(passages.collect()) and q.count() == 4
-    assert squad.build_corpus(spark, raw, n_articles=1, max_questions=1)[1].count() == 1
+    assert qa_json.build_corpus(spark, raw, n_articles=1, max_questions=1)[1].count() == 1
 
 
 def test_prediction_lines(spark, tmp_path):
     path = tmp_path / "p.jsonl"
     path.write_text('{"qid": "a", "pred": "x"}\n{"qid": "b", "pr')
-    assert [r["qid"] for r in squad.read_predictions(spark, str(path)).collect()] == ["a"]
+    assert [r["qid"] for r in qa_json.read_predictions(spark, str(path)).collect()] == ["a"]
     with pytest.raises(Exception, match="(?i)malformed"):
-        squad.read_predictions(spark, str(path), tolerant=False).collect()
+        qa_json.read_predictions(spark, str(path), tolerant=False).collect()
 
 
 def test_reports_and_checksums(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], "k int, v string")
-    squad.write_csv(rows, str(tmp_path / "t"))
-    assert squad.read_csv(spark, str(tmp_path / "t"), "k int, v string").collect() == rows.collect()
+    qa_json.write_csv(rows, str(tmp_path / "t"))
+    assert qa_json.read_csv(spark, str(tmp_path / "t"), "k int, v string").collect() == rows.collect()
     (tmp_path / "f").write_bytes(b"abc")
-    assert squad.checksums(spark, str(tmp_path / "f")).first()["checksum"] == "ba7816bf8f01cfea"
+    assert qa_json.checksums(spark, str(tmp_path / "f")).first()["checksum"] == "ba7816bf8f01cfea"
 
 
 def test_config(tmp_path):
     text = "seed: 7\ndata:\n  path: 'a#b'  # here\n  on: true\n  off: null\nsplits:\n  a: 0.5\n  b: 0.5\nlist: [1, 2.5, x]\n"
     path = tmp_path / "c.yaml"
     path.write_text(text)
-    got = squad.load_config(path, ("seed", "data", "splits"))
+    got = qa_json.load_config(path, ("seed", "data", "splits"))
     assert got == {"seed": 7, "data": {"path": "a#b", "on": True, "off": None}, "splits": {"a": 0.5, "b": 0.5}, "list": [1, 2.5, "x"]}
     with pytest.raises(ValueError, match="missing"):
-        squad.load_config(path)
+        qa_json.load_config(path)
     path.write_text(text.replace("b: 0.5", "b: 0.4"))
     with pytest.raises(ValueError, match="sum"):
-        squad.load_config(path, ("seed",))
+        qa_json.load_config(path, ("seed",))
 
 
 @pytest.mark.parametrize(("n", "sizes"), [(120, [48, 24, 12, 36]), (60, [24, 12, 6, 18])])
