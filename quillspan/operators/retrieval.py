@@ -20,6 +20,8 @@ from quillspan.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+#: Dimensions of the latent space.
+DIMS = 256
 
 
 def corpus(passages: DataFrame) -> DataFrame:
@@ -87,9 +89,12 @@ BLOCK, SHARD = 10_000, 4_000
 class Shard:
     """The postings of some passages in arrays, by kind and term."""
 
-    def __init__(self, frame: pd.DataFrame) -> None:
-        self.pids, first, at = np.unique(frame["pid"].to_numpy(), return_index=True, return_inverse=True)
-        names = frame["article"].to_numpy(dtype=object)[first]
+    def __init__(self, frame: pd.DataFrame, every: pd.DataFrame | None = None) -> None:
+        """``every``: all passages of the shard, if those without postings count too."""
+        held = frame if every is None else every
+        self.pids, first = np.unique(held["pid"].to_numpy(), return_index=True)
+        at = np.searchsorted(self.pids, frame["pid"].to_numpy())
+        names = held["article"].to_numpy(dtype=object)[first]
         self.of_article: dict[str, np.ndarray] = {n: np.flatnonzero(names == n) for n in {x for x in names if x is not None}}
         keys = list(zip(frame["kind"], frame["term"]))
         self.number: dict[tuple, int] = {}
@@ -119,19 +124,29 @@ class Shard:
             hit[own[self.pids[own] != gold] if gold is not None else own] = False
 
 
-def _blocks(asked: DataFrame, questions: DataFrame) -> Iterator[list[tuple]]:
-    """The questions in blocks of about BLOCK as (qid, article, gold_pid, [(kind, term, weight)])."""
+def _blocks(asked: DataFrame, questions: DataFrame, vectors: DataFrame | None = None) -> Iterator[list[tuple]]:
+    """The questions in blocks of about BLOCK as (qid, article, gold_pid, [(kind, term, weight)]).
+
+    With ``vectors`` (``qid, vec``) each has its vector or None besides, and questions without terms come too.
+    """
     n = -(-questions.count() // BLOCK) or 1
     terms = asked.groupBy("qid").agg(F.collect_list(F.struct("kind", "term", "weight")).alias("terms"))
-    rows = materialize(questions.select("qid", "article", "gold_pid").join(terms, "qid").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(n))), "asked")
+    rows = questions.select("qid", "article", "gold_pid").join(terms, "qid", "inner" if vectors is None else "left")
+    if vectors is not None:
+        rows = rows.join(vectors, "qid", "left")
+    rows = materialize(rows.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(n))), "asked")
+    more = [] if vectors is None else ["vec"]
     for b in range(n):
-        yield [(r["qid"], r["article"], r["gold_pid"], [tuple(t) for t in r["terms"]]) for r in rows.where(F.col("_b") == b).drop("_b").toLocalIterator()]
+        yield [(r["qid"], r["article"], r["gold_pid"], [tuple(t) for t in r["terms"] or []], *[r[c] and bytes(r[c]) for c in more]) for r in rows.where(F.col("_b") == b).drop("_b").toLocalIterator()]
+
 
+def _shard_count(passages: DataFrame) -> int:
+    return max(passages.sparkSession.sparkContext.defaultParallelism, -(-passages.count() // SHARD))
 
-def _shards(postings: DataFrame, passages: DataFrame):
-    """Postings grouped by shard: at most about SHARD passages in one."""
-    parts = max(postings.sparkSession.sparkContext.defaultParallelism, -(-passages.count() // SHARD))
-    return materialize(postings.withColumn("_shard", F.pmod(F.xxhash64("pid"), F.lit(parts))), "postings").repartition(parts, "_shard").groupBy("_shard")
+
+def _shards(rows: DataFrame, parts: int, name: str = "postings"):
+    """Rows with ``pid`` grouped by shard: at most about SHARD passages in one."""
+    return materialize(rows.withColumn("_shard", F.pmod(F.xxhash64("pid"), F.lit(parts))), name).repartition(parts, "_shard").groupBy("_shard")
 
 
 def _best(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +173,7 @@ def score(asked: DataFrame, postings: DataFrame, questions: DataFrame, passages:
     (As a join and an aggregation, each common term of a pair is a row: at sf0.1
     that took 31 s on 8 cores.)
     """
-    shards = _shards(postings.withColumn("kind", F.lit("w")), passages)
+    shards = _shards(postings.withColumn("kind", F.lit("w")), _shard_count(passages))
     out = None
     for block in _blocks(asked.withColumn("kind", F.lit("w")), questions):
         sent = passages.sparkSession.sparkContext.broadcast(block)
@@ -208,54 +223,72 @@ def tfidf_cosine(passages: DataFrame, questions: DataFrame, masked: bool = True,
     return score(asked, held, questions, passages, masked, k)
 
 
-def hybrid(passages: DataFrame, questions: DataFrame, k: int, alpha: float = 0.5, masked: bool = True) -> DataFrame:
+#: Questions whose cosines with a shard's passages are held at once.
+CHUNK = 256
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """``vec`` as the bytes of 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def pack(vec: pd.Series) -> pd.Series:
+        return vec.map(lambda x: np.asarray(x, dtype=np.float32).tobytes())
+
+    return vectors.withColumn("vec", pack("vec"))
+
+
+def _matrix(packed: pd.Series | list, size: int) -> np.ndarray:
+    """Packed vectors as rows; what has none is 0."""
+    none = np.zeros(size, dtype=np.float32)
+    return np.stack([none if x is None else np.frombuffer(x, dtype=np.float32) for x in packed]) if len(packed) else np.zeros((0, size), dtype=np.float32)
+
+
+def _scored(postings: pd.DataFrame, every: pd.DataFrame, block: list[tuple], size: int, masked: bool) -> Iterator[tuple]:
+    """For each question of the block: its key, the shard, the allowed passages' places, and all cosines and BM25 scores."""
+    shard = Shard(postings, every)
+    held = _matrix(every.drop_duplicates("pid").sort_values("pid")["vec"].tolist(), size).T
+    for i in range(0, len(block), CHUNK):
+        part = block[i : i + CHUNK]
+        cosines = _matrix([q[4] for q in part], size) @ held
+        for (qid, article, gold, terms, _), dense in zip(part, cosines):
+            _, (w,) = shard.scores(terms, "w")
+            free = np.ones(len(shard.pids), dtype=bool)
+            if masked:
+                shard.hide(free, article, gold)
+            yield qid, shard, np.flatnonzero(free), np.round(dense.astype(np.float64), DIGITS), w
+
+
+def hybrid(passages: DataFrame, questions: DataFrame, k: int, alpha: float = 0.5, masked: bool = True, dims: int = DIMS) -> DataFrame:
     """``qid, rank, pid, dense, bm25, hybrid``: the k best by the mixture of both scores, each scaled to 0..1 over a question's allowed passages.
 
-    A passage that shares no word scores 0 in both; it takes part in the minimum
-    without being listed. ``dense`` is the raw cosine, ``bm25`` the scaled score.
-    Both kinds of posting are summed in one pass over the shards; the limits of a
-    block's scores come from a pass of their own, which sends a row a question.
+    ``dense`` is the raw cosine in the latent space of ``dims`` dimensions, ``bm25``
+    the scaled score. Every allowed passage takes part, whether it shares a word or
+    not. Both scores are made in one pass over the shards; the limits of a block's
+    scores come from a pass of their own, which sends a row a question.
     """
-    words_ = F.lit("w").alias("kind")
-    vectors = F.lit("v").alias("kind")
-    counts = materialize(term_counts(passages, "pid", "text", long=True), "term-counts")
-    terms = tfidf_terms(counts, passages.count())
-    held = bm25_postings(passages).select("pid", "article", words_, "term", "weight").unionByName(tfidf_vectors(counts, terms, "pid").join(passages.select("pid", "article"), "pid").select("pid", "article", vectors, "term", "weight"))
-    asked = term_counts(questions, "qid", "question").select("qid", words_, "term", F.col("tf").cast("double").alias("weight"))
-    asked = asked.unionByName(tfidf_vectors(term_counts(questions, "qid", "question", long=True), terms, "qid").select("qid", vectors, "term", "weight"))
-    size = _valid_passages(passages, questions, masked)
-    shards = _shards(held, passages)
     spark = passages.sparkSession
+    vectors, asked_vectors, size = latent_vectors(passages, questions, dims)
+    parts = _shard_count(passages)
+    every = passages.select("pid", "article").join(_packed(vectors), "pid", "left")
+    held = _shards(bm25_postings(passages).withColumn("kind", F.lit("w")), parts)
+    every = _shards(every, parts, "latent")
+    asked = term_counts(questions, "qid", "question").select("qid", F.lit("w").alias("kind"), "term", F.col("tf").cast("double").alias("weight"))
     out = None
-    for block in _blocks(asked, questions):
+    for block in _blocks(asked, questions, _packed(asked_vectors)):
         sent = spark.sparkContext.broadcast(block)
 
-        def limits(frame: pd.DataFrame, *, sent=sent) -> pd.DataFrame:
-            shard, rows = Shard(frame), []
-            for qid, article, gold, terms in sent.value:
-                hit, (d, w) = shard.scores(terms, "vw")
-                if masked:
-                    shard.hide(hit, article, gold)
-                if hit.any():
-                    rows.append((qid, int(hit.sum()), d[hit].min(), d[hit].max(), w[hit].min(), w[hit].max()))
-            out = pd.DataFrame(rows, columns=["qid", "n", "d0", "d1", "w0", "w1"])
-            return out.astype({"qid": object})
-
-        ends = shards.applyInPandas(limits, "qid string, n long, d0 double, d1 double, w0 double, w1 double")
-        ends = ends.groupBy("qid").agg(F.sum("n").alias("n"), F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.min("w0").alias("w0"), F.max("w1").alias("w1")).join(size, "qid")
-        known = {}
-        for r in ends.toLocalIterator():  # a row a question of the block
-            less = r["n"] < r["_valid"]
-            known[r["qid"]] = (min(0.0, r["d0"]) if less else r["d0"], r["d1"], min(0.0, r["w0"]) if less else r["w0"], r["w1"])
+        def limits(postings: pd.DataFrame, every: pd.DataFrame, *, sent=sent) -> pd.DataFrame:
+            rows = [(qid, d[at].min(), d[at].max(), w[at].min(), w[at].max()) for qid, _, at, d, w in _scored(postings, every, sent.value, size, masked) if len(at)]
+            return pd.DataFrame(rows, columns=["qid", "d0", "d1", "w0", "w1"]).astype({"qid": object})
+
+        ends = held.cogroup(every).applyInPandas(limits, "qid string, d0 double, d1 double, w0 double, w1 double")
+        ends = ends.groupBy("qid").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.min("w0").alias("w0"), F.max("w1").alias("w1"))
+        known = {r["qid"]: (r["d0"], r["d1"], r["w0"], r["w1"]) for r in ends.toLocalIterator()}  # a row a question of the block
         told = spark.sparkContext.broadcast(known)
 
-        def mix(frame: pd.DataFrame, *, sent=sent, told=told) -> pd.DataFrame:
-            shard, qids, pids, dense, words_of, both = Shard(frame), [], [], [], [], []
-            for qid, article, gold, terms in sent.value:
-                hit, (d, w) = shard.scores(terms, "vw")
-                if masked:
-                    shard.hide(hit, article, gold)
-                at = np.flatnonzero(hit)
+        def mix(postings: pd.DataFrame, every: pd.DataFrame, *, sent=sent, told=told) -> pd.DataFrame:
+            qids, pids, dense, words_of, both = [], [], [], [], []
+            for qid, shard, at, d, w in _scored(postings, every, sent.value, size, masked):
                 if len(at) == 0:
                     continue
                 d0, d1, w0, w1 = told.value[qid]
@@ -269,25 +302,17 @@ def hybrid(passages: DataFrame, questions: DataFrame, k: int, alpha: float = 0.5
                 both.append(mixed[at])
             return _frame(qids, pids, dense=dense, bm25=words_of, hybrid=both)
 
-        found = shards.applyInPandas(mix, "qid string, pid long, dense double, bm25 double, hybrid double")
+        found = held.cogroup(every).applyInPandas(mix, "qid string, pid long, dense double, bm25 double, hybrid double")
         out = found if out is None else out.unionByName(found)
     return top(out, k, "hybrid").select("qid", "rank", "pid", "dense", "bm25", "hybrid")
 
 
-def _valid_passages(passages: DataFrame, questions: DataFrame, masked: bool) -> DataFrame:
-    """``qid, _valid``: how many passages the question may find."""
-    n = passages.count()
-    if not masked:
-        return questions.select("qid", F.lit(n).alias("_valid"))
-    own = passages.where("article IS NOT NULL").groupBy("article").agg(F.count(F.lit(1)).alias("_own"))
-    gold = passages.select(F.col("pid").alias("gold_pid"), F.col("article").alias("_gold_article"))
-    size = questions.join(own, "article", "left").join(gold, "gold_pid", "left")
-    hidden = F.coalesce("_own", F.lit(0)) - F.when(F.col("_gold_article") == F.col("article"), 1).otherwise(0)
-    return size.select("qid", (F.lit(n) - hidden).alias("_valid"))
+#: Rows of the term matrix that are sent in one piece.
+PIECE = 2048
 
 
 def _gram_times(held: DataFrame, q: np.ndarray, fan_in: int = 16) -> np.ndarray:
-    """A'(A q) for the sparse rows ``v`` of ``held``: one pass; partitions' sums are merged in a tree."""
+    """A'(A q) for the sparse rows ``v`` of ``held``: one pass; partitions' sums are merged piece by piece in a tree."""
     width, size = q.shape
     sent = held.sparkSession.sparkContext.broadcast(q)
 
@@ -300,24 +325,28 @@ def _gram_times(held: DataFrame, q: np.ndarray, fan_in: int = 16) -> np.ndarray:
                 at = np.array([e["j"] for e in row])
                 w = np.array([e["weight"] for e in row])
                 out[at] += w[:, None] * (w @ sent.value[at])
-        yield pd.DataFrame({"b": [TaskContext.get().partitionId()], "m": [out.tobytes()]})
+        for r, i in enumerate(range(0, width, PIECE)):
+            yield pd.DataFrame({"b": [TaskContext.get().partitionId()], "r": [r], "m": [out[i : i + PIECE].tobytes()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((width, size))
-        for m in frame["m"]:
-            total += np.frombuffer(m).reshape(width, size)
-        return pd.DataFrame({"b": [frame["b"].iloc[0]], "m": [total.tobytes()]})
+        frame = frame.sort_values("b")
+        total = sum(np.frombuffer(m) for m in frame["m"])
+        return pd.DataFrame({"b": [frame["b"].iloc[0] // fan_in], "r": [frame["r"].iloc[0]], "m": [total.tobytes()]})
 
     parts = max(1, held.rdd.getNumPartitions())
-    sums = held.select("v").mapInPandas(part, "b long, m binary")
+    sums = held.select("v").mapInPandas(part, "b long, r long, m binary")
     while parts > 1:
         parts = -(-parts // fan_in)
-        sums = sums.withColumn("b", F.floor(F.col("b") / fan_in)).groupBy("b").applyInPandas(merge, "b long, m binary")
-    rows = sums.collect()  # one matrix of the vocabulary by the dimensions
-    return sum((np.frombuffer(r["m"]).reshape(width, size) for r in rows), np.zeros((width, size)))
+        sums = sums.groupBy("r", F.floor(F.col("b") / fan_in)).applyInPandas(merge, "b long, r long, m binary")
+    out = np.zeros((width, size))
+    for row in sums.toLocalIterator():  # one matrix of the vocabulary by the dimensions
+        piece = np.frombuffer(row["m"]).reshape(-1, size)
+        out[row["r"] * PIECE : row["r"] * PIECE + len(piece)] += piece
+    sent.unpersist()
+    return out
 
 
-def latent_vectors(passages: DataFrame, questions: DataFrame, dims: int = 64, rounds: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+def latent_vectors(passages: DataFrame, questions: DataFrame, dims: int = DIMS, rounds: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """``(pid vectors, qid vectors, k)``: truncated SVD of the TF-IDF matrix, rows scaled to length 1.
 
     Randomised: a random start of dims + 10 columns is multiplied by A'A and made
@@ -334,9 +363,9 @@ def latent_vectors(passages: DataFrame, questions: DataFrame, dims: int = 64, ro
     held = materialize(held, "tfidf-rows")
     k = max(1, min(dims, held.count() - 1, width - 1))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, k + 10))))[0]
-    for _ in range(rounds):
+    for _ in range(rounds if width else 0):
         q = np.linalg.qr(_gram_times(held, q))[0]
-    values, vectors = np.linalg.eigh(q.T @ _gram_times(held, q))
+    values, vectors = np.linalg.eigh(q.T @ _gram_times(held, q)) if width else (np.zeros(0), np.zeros((0, 0)))
     v = q @ vectors[:, np.argsort(-values)[:k]]
     sent = passages.sparkSession.sparkContext.broadcast(v)
 

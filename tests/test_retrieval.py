@@ -71,6 +71,26 @@ def test_nearest_equals_brute_force(spark, passages):
     assert k >= 1 and [p for p, _ in got] == [p for p, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-5)
 
 
+def test_hybrid_is_dense_in_the_latent_space(spark):
+    import inspect
+
+    import numpy as np
+
+    texts = ["car engine wheel", "automobile engine wheel", "automobile wheel road", "car road engine", "bread flour water", "bread flour yeast", "yeast water bread", "--- 7"]
+    p = R.corpus(spark.createDataFrame([(k, f"art{k}", x) for k, x in enumerate(texts)], "pid long, article string, text string"))
+    q = ask(spark, "car")
+    got = {r["pid"]: r for r in R.hybrid(p, q, 10, dims=2).collect()}
+    held, asked, _ = R.latent_vectors(p, q, dims=2)
+    v = np.array(asked.first()["vec"])
+    want = {r["pid"]: float(v @ np.array(r["vec"])) for r in held.collect()} | {7: 0.0}
+    assert {k: r["dense"] for k, r in got.items()} == pytest.approx(want, abs=1e-5)
+    # passage 2 shares no word with the question, but its topic
+    assert got[2]["bm25"] == got[4]["bm25"] == pytest.approx(0, abs=1e-6) and got[2]["hybrid"] > got[4]["hybrid"] + 0.2
+    low, high = min(want.values()), max(want.values())
+    assert got[2]["hybrid"] == pytest.approx(0.5 * (want[2] - low) / (high - low), abs=1e-4)
+    assert inspect.signature(R.hybrid).parameters["dims"].default == inspect.signature(R.latent_vectors).parameters["dims"].default == 256
+
+
 def test_empty_tables(spark):
     none = R.corpus(spark.createDataFrame([], "pid long, article string, text string"))
     assert R.bm25(none, ask(spark, "anything")).count() == 0
