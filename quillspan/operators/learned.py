@@ -19,7 +19,7 @@ from quillspan.functions.text import hash_draw, normalize_answer
 from quillspan.operators import spans as S
 from quillspan.operators.signals import SIGNALS
 
-ITERATIONS, RATE, SEED = 20, 0.1, 0
+ITERATIONS, RATE, SEED = 200, 0.1, 0
 
 
 def fit_trees(rows: DataFrame, columns: list[str], label: str, *, weight: str | None = None, iterations: int = ITERATIONS, depth: int = 4, seed: int = SEED) -> PipelineModel:
