@@ -161,14 +161,14 @@ def gold_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """The candidates that a span scorer would be fitted on, with five negatives for each positive, and their labels."""
+    """The candidates that a span scorer would be fitted on, with 400 negatives for each positive, and their labels."""
     c = _corpus(spark, folder)
     toks = spans.tokens(c)
     cands = spans.candidates(toks)
     featured = spans.features(_asked(spark, folder), toks, retrieval.idf(c), cands)
     gold = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: T.normalize_answer(a)), lambda a: a != "")
     golds = table(spark, folder, "questions").where("qid IS NOT NULL").groupBy("qid").agg(F.max(F.coalesce("is_impossible", F.lit(False))).alias("is_impossible"), F.first(gold).alias("golds"))
-    return learned.training_spans(featured, spans.span_texts(cands, toks), golds, per_positive=5).select("qid", "pid", "start", "len", "label", F.round("weight", 6).alias("weight"))
+    return learned.training_spans(featured, spans.span_texts(cands, toks), golds).select("qid", "pid", "start", "len", "label", F.round("weight", 6).alias("weight"))
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:

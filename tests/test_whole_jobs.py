@@ -3,6 +3,7 @@
 import pytest
 
 from quillspan.operators import ask, learned
+from quillspan.plans import corpus_queries as C
 from quillspan.plans import evaluation_queries as E
 
 QUESTIONS = "qid string, article string, gold_pid long, question string, answers array<string>, is_impossible boolean"
@@ -34,3 +35,11 @@ def test_every_part_but_the_readers_is_answered(spark, folder, monkeypatch):
     monkeypatch.setattr(ask, "answer", lambda questions, passages, reader: questions)
     assert {r["qid"] for r in E.answered_questions(spark, folder).collect()} == {"q1", "q2", "q3"}
     assert made == [(["q0"], 400, 200)]
+
+
+def test_training_keeps_all_negatives_up_to_400(spark, folder):
+    rows = C.training_spans(spark, folder).collect()
+    candidates = C.span_features(spark, folder).where("qid = 'q0'").count()
+    mine = [r for r in rows if r["qid"] == "q0"]
+    assert sum(r["label"] for r in mine) == 1 and len(mine) == candidates > 6
+    assert sum(r["weight"] for r in rows if r["label"] == 1) == pytest.approx(sum(r["weight"] for r in rows if r["label"] == 0), abs=1e-3)
