@@ -11,7 +11,7 @@ from quillspan.plans.corpus_queries import QTYPE
 from quillspan.session import materialize
 from quillspan.sources.tables import table
 
-REPS, SEED = 50, 7
+REPS, SQL_REPS, SEED = 1000, 50, 7
 FRACTIONS = {"reader_train": 0.4, "rel_train": 0.2, "rel_calib": 0.1, "test": 0.3}
 _PUNCT = T.PUNCTUATION.replace("'", "''")
 NORM = lambda c: (
@@ -34,7 +34,7 @@ AUC = """auc AS (SELECT method, CASE WHEN sum(1 - correct) = 0 OR sum(correct) =
   FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY risk) + (count(*) OVER (PARTITION BY method, risk) - 1) / 2 AS mid FROM sc) GROUP BY 1)"""
 DRAW = lambda *p: f"('0x' || substr(md5({' || $$|$$ || '.join(p)}), 1, 8))::BIGINT"
 BOOT = f"""arts AS (SELECT article, row_number() OVER (ORDER BY article) - 1 AS k FROM (SELECT DISTINCT article FROM sc WHERE article IS NOT NULL)), na AS (SELECT count(*) AS n FROM arts),
-dr AS (SELECT rep, slot, article FROM (SELECT r.rep, s.slot, {DRAW(f"'{SEED}'", 'CAST(r.rep AS VARCHAR)', 'CAST(s.slot AS VARCHAR)')} % (SELECT n FROM na) AS k FROM (SELECT unnest(range({REPS})) AS rep) r, (SELECT unnest(range((SELECT n FROM na))) AS slot) s) JOIN arts USING (k)),
+dr AS (SELECT rep, slot, article FROM (SELECT r.rep, s.slot, {DRAW(f"'{SEED}'", 'CAST(r.rep AS VARCHAR)', 'CAST(s.slot AS VARCHAR)')} % (SELECT n FROM na) AS k FROM (SELECT unnest(range({SQL_REPS})) AS rep) r, (SELECT unnest(range((SELECT n FROM na))) AS slot) s) JOIN arts USING (k)),
 rs AS (SELECT rep, slot, method, sc.article, risk, correct, ord FROM dr JOIN sc USING (article)),
 rv AS (SELECT rep, method, avg(errs / rn) AS value FROM (SELECT rep, method, row_number() OVER w AS rn, sum(1 - correct) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS errs FROM rs WINDOW w AS (PARTITION BY rep, method ORDER BY risk, slot, ord)) GROUP BY 1, 2)"""
 
@@ -168,20 +168,20 @@ def gated_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_aurc(spark: SparkSession, folder: str) -> DataFrame:
-    """Intervals of the AURC over resampled articles."""
+    """Intervals of the AURC over resampled articles, 1,000 replicates."""
     out = resample.bootstrap_interval(_scored(spark, folder).where("article IS NOT NULL"), "aurc", REPS, SEED)
     return out.select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
 
 
 def paired_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """The difference in AURC of null score and span probability on the same draws."""
+    """The difference in AURC of null score and span probability on the same 1,000 draws."""
     out = resample.paired_difference(_scored(spark, folder).where("article IS NOT NULL"), "B4", "B2", "aurc", REPS, SEED)
     return out.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "excludes_zero")
 
 
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
     """Intervals of the error AUC over resampled articles, 1,000 replicates."""
-    return resample.bootstrap_interval(_scored(spark, folder).where("article IS NOT NULL"), "auc", 1000, SEED)
+    return resample.bootstrap_interval(_scored(spark, folder).where("article IS NOT NULL"), "auc", REPS, SEED)
 
 
 def sampled_articles(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspan.operators import ask, learned
+from quillspan.operators import ask, learned, resample
 from quillspan.plans import corpus_queries as C
 from quillspan.plans import evaluation_queries as E
 
@@ -43,3 +43,12 @@ def test_training_keeps_all_negatives_up_to_400(spark, folder):
     mine = [r for r in rows if r["qid"] == "q0"]
     assert sum(r["label"] for r in mine) == 1 and len(mine) == candidates > 6
     assert sum(r["weight"] for r in rows if r["label"] == 1) == pytest.approx(sum(r["weight"] for r in rows if r["label"] == 0), abs=1e-3)
+
+
+def test_bootstraps_have_1000_replicates(spark, monkeypatch):
+    asked = []
+    real = resample.replicate_metric
+    monkeypatch.setattr(resample, "replicate_metric", lambda scored, metric, reps, seed: asked.append(reps) or real(scored, metric, reps, seed))
+    small = "/root/testdata/sf0.001"
+    assert {r["reps"] for r in E.bootstrap_aurc(spark, small).collect()} == {1000}
+    assert len(E.paired_difference(spark, small).collect()) == 1 and asked == [1000, 1000]
