@@ -52,3 +52,27 @@ def test_bootstraps_have_1000_replicates(spark, monkeypatch):
     small = "/root/testdata/sf0.001"
     assert {r["reps"] for r in E.bootstrap_aurc(spark, small).collect()} == {1000}
     assert len(E.paired_difference(spark, small).collect()) == 1 and asked == [1000, 1000]
+
+
+def test_risk_models_have_all_rounds_and_shuffles(spark, monkeypatch):
+    rounds, dealt = [], []
+
+    class RiskModel(learned.RiskModel):
+        def fit(self, rows, label="error"):
+            rounds.append(self.iterations)
+            return self
+
+        def calibrate(self, rows, label="error"):
+            return self
+
+        def risk(self, rows, calibrated=True):
+            return rows.withColumn("risk", rows["r_sim_top1"])
+
+    monkeypatch.setattr(learned, "RiskModel", RiskModel)
+    monkeypatch.setattr(resample, "shuffled", lambda rows, column, order, seed: dealt.append((column, seed)) or rows)
+    for q in (E.model_comparison, E.negative_control, E.family_ablation, E.domain_shift, E.threshold_sensitivity):
+        q(spark, "/root/testdata/sf0.001")
+    dealt.clear()
+    E.permutation_importance(spark, "/root/testdata/sf0.001")
+    assert set(rounds) == {200}
+    assert len(set(dealt)) == 160
