@@ -116,9 +116,9 @@ def retrieve_latent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gold_in_top(spark: SparkSession, folder: str) -> DataFrame:
-    """By part, the share of questions whose gold passage is among the five best by BM25."""
+    """By part, the share of questions whose gold passage is among the five best by BM25; one without any hit counts as not found."""
     best = retrieve_bm25(spark, folder).groupBy("qid").agg(F.collect_set("pid").alias("pids"))
-    q = _askable(spark, folder).join(best, "qid").join(table(spark, folder, "article_split"), "article")
+    q = _askable(spark, folder).join(best, "qid", "left").join(table(spark, folder, "article_split"), "article")
     return q.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.array_contains("pids", F.col("gold_pid")), F.lit(False)).cast("int")), 6).alias("gold_in_k"))
 
 

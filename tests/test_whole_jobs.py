@@ -76,3 +76,8 @@ def test_risk_models_have_all_rounds_and_shuffles(spark, monkeypatch):
     E.permutation_importance(spark, "/root/testdata/sf0.001")
     assert set(rounds) == {200}
     assert len(set(dealt)) == 160
+
+
+def test_questions_without_a_hit_count_as_not_found(spark, folder):
+    got = {r["part"]: (r["n"], r["gold_in_k"]) for r in C.gold_in_top(spark, folder).collect()}
+    assert got["rel_calib"] == (1, 0.0) and got["reader_train"] == (1, 1.0)
