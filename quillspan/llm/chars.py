@@ -53,3 +53,26 @@ def runs(points: np.ndarray, n: int) -> np.ndarray:
             return out
         power = mix(power[:-width] * base + power[width:])
         width *= 2
+
+
+def run_sets(texts: list[str | None], n: int, salts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(sizes, grams)``: for each text the different hashes of its runs, ascending, one text after another.
+
+    ``salts``, a number a text, keep the sets of different numbers apart.
+    """
+    lowered = [unicodedata.normalize("NFKC", t).lower() if t else "" for t in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kept = _kept()[points]
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered)))[kept]
+    hashed = runs(points[kept], n)
+    if not len(hashed):
+        return np.zeros(len(texts), dtype=np.int64), hashed
+    inside = row[: len(hashed)] == row[n - 1 :]  # a run doesn't cross texts
+    hashed, row = hashed[inside], row[: len(hashed)][inside]
+    if salts is not None:
+        hashed = hashed ^ salts[row]
+    order = np.argsort(hashed)
+    order = order[np.argsort(row[order].astype(np.uint16) if len(texts) <= 1 << 16 else row[order], kind="stable")]
+    hashed, row = hashed[order], row[order]
+    new = np.r_[True, (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])] if len(hashed) else np.zeros(0, dtype=bool)
+    return np.bincount(row[new], minlength=len(texts)), hashed[new]

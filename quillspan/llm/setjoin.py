@@ -1,50 +1,78 @@
-"""Exact similarity joins of texts as sets of character runs, shared by problems 1 and 7.
+"""Exact similarity joins of texts as sets of character runs: what problems 1 and 7 share.
 
 * Texts with equal sets form one class; only classes are joined.
 * The global order of runs is by frequency, rarest first. Frequencies come from a
-  table of counts by hash bucket, of a fixed size whatever the corpus: any total
-  order makes the filters exact, this one makes them sharp.
-* Large sets are cut into parts by a hash of the run: of two sets that reach the
-  threshold, some part of the one reaches it with the same part of the other (or
-  else the whole couldn't). Parts have up to some hundred runs at every length of
-  text, so that a sketch of fixed size tells them apart.
-* Each part posts the runs of its prefix with its size, the position and a 256-bit
-  parity sketch. Two classes meet on a common run of their prefixes and are a
-  candidate only if sizes, positions and sketches all admit the threshold. None of
-  these filters loses a pair.
-* The postings of a run that is frequent by the table are dealt to several parts,
-  so that no task gets a long list alone.
-
-Candidates are few beyond the true pairs; their overlap is counted exactly by the
-callers, each in its own way.
+  table with a byte for each bucket of runs, the logarithm of its count; there are
+  about as many buckets as a quarter of the corpus's runs, up to 2**26 (64 MB).
+  Any total order makes the filters exact, this one makes them sharp.
+* Runs that more than one in 2**18 of all occurrences are (and more than PART) are
+  counted exactly; there are fewer than 2**18 of them at every size of the corpus.
+  Only their postings are dealt to several lists, so that no task gets a long list
+  alone.
+* Postings are brought together by one shuffle on the run (and list), sorted by it,
+  and met list by list in arrays: nothing that grows with the data is broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.chars import mix, plain, runs
+from quillspan.llm.chars import mix, run_sets
 
-#: Characters of a run; similarity from which texts are a pair (as a fraction); buckets of the table of counts.
+#: Characters of a run; similarity from which texts are a pair (as a fraction).
 RUN, NUMERATOR, DENOMINATOR = 4, 3, 5
-BUCKET_BITS = 20
-#: Postings of a run that go to one task's list, at most (by the table of counts).
+#: Least and greatest number of buckets, as powers of two, and buckets of one piece of the table.
+LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 26, 14
+#: Steps of the table's logarithm in an octave.
+STEPS = 8
+#: Postings of a run in one list, about.
 PART = 4096
+#: 64-bit words of a sketch.
 WORDS = 4
-#: A set of up to FIRST runs is whole, one of up to 4 FIRST is cut into 4 parts, of up to 16 FIRST into 16, and so on.
-FIRST = 128
-_KEY, _BIN, _CUT = 0xD6E8FEB86659FD93, np.uint64(0x5851F42D4C957F2D), np.uint64(0xA24BAED4963EE407)
+#: Postings that meet at once, and pairs that are looked at together.
+TOGETHER, PAIRS = 200_000, 1_000_000
+_KEY, _BIN = 0xD6E8FEB86659FD93, np.uint64(0x5851F42D4C957F2D)
+SKETCH = ", ".join(f"s{w} bigint" for w in range(WORDS))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: it is shuffled and sorted, never broadcast by a guess at its size."""
+    return rows.hint("merge")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], lengths: int, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``rows`` rows and about ``most`` characters or elements of column ``lengths``."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        column = batch.column(lengths)
+        n = pc.fill_null(pc.utf8_length(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pc.list_value_length(column), 0)
+        total = np.cumsum(n.to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            done = total[i - 1] if i else 0
+            j = min(max(i + 1, int(np.searchsorted(total, done + most, side="right"))), i + rows)
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and the flat values of a column of arrays of numbers without nulls, slices included."""
+    offsets = column.offsets.to_numpy()
+    return np.diff(offsets), column.values.to_numpy()[offsets[0] : offsets[-1]]
 
 
 def text_sets(texts: DataFrame, keys: list[str], text: str, space: str | None = None, n: int = RUN) -> DataFrame:
-    """The keys, ``sig`` (128-bit digest of the set of runs) and ``grams`` (sorted hashes), for texts with a run.
+    """The keys, ``sig`` (128-bit digest of the set of runs) and ``grams`` (ascending hashes), for texts with a run.
 
     ``space`` names a column whose values keep their sets apart. Texts without a
     run (null, empty, blank, marks only, fewer than ``n`` letters and digits)
@@ -56,177 +84,186 @@ def text_sets(texts: DataFrame, keys: list[str], text: str, space: str | None =
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*columns[:-1]).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                spaces = part.column(other).to_pylist() if other is not None else None
-                keep, sigs, sets = [], [], []
-                for k, t in enumerate(part.column(at).to_pylist()):
-                    grams = runs(plain(t), n) if t else ()
-                    if len(grams):
-                        if spaces is not None:
-                            grams = grams ^ np.uint64(int.from_bytes(hashlib.blake2b(str(spaces[k]).encode(), digest_size=8).digest(), "little"))
-                        grams = np.unique(grams)
-                        keep.append(k)
-                        sigs.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                        sets.append(grams.view(np.int64))
-                if keep:
-                    kept = part.take(pa.array(keep))
-                    offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(sigs, type=pa.binary()), lists], names=[*columns[:-1], "sig", "grams"])
+        known: dict = {}
+        for part in pieces(batches, at):
+            salts = None
+            if other is not None:
+                spaces = part.column(other).to_pylist()
+                for s in set(spaces) - known.keys():
+                    known[s] = int.from_bytes(hashlib.blake2b(str(s).encode(), digest_size=8).digest(), "little")
+                salts = np.array([known[s] for s in spaces], dtype=np.uint64)
+            sizes, grams = run_sets(part.column(at).to_pylist(), n, salts)
+            keep = np.flatnonzero(sizes)
+            if len(keep):
+                ends = np.cumsum(sizes[keep])
+                raw, starts = grams.tobytes(), np.r_[0, ends[:-1]]
+                sigs = [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist())]
+                kept = part.take(pa.array(keep))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(sigs, type=pa.binary()), lists], names=[*columns[:-1], "sig", "grams"])
 
     return texts.select(*columns).mapInArrow(run, ", ".join([*fields, "sig binary", "grams array<bigint>"]))
 
 
+def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
+    """A row for each different set: a number ``id``, ``sig``, ``n``, ``grams`` and the aggregates asked for. The numbers hold once this is written."""
+    return sets.groupBy("sig").agg(F.first("grams").alias("grams"), *more).withColumn("n", F.size("grams")).withColumn("id", F.monotonically_increasing_id())
+
+
+class Order(NamedTuple):
+    """The global order of runs: by ``level`` of their bucket, then by value; and the runs that are frequent by exact count."""
+
+    bits: int
+    levels: np.ndarray
+    frequent: np.ndarray
+    lists: np.ndarray
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        return self.levels[bucket_of(grams, self.bits)]
+
+    def times(self, grams: np.ndarray) -> np.ndarray:
+        """The number of lists that the postings of each run are dealt to."""
+        out = np.ones(len(grams), dtype=np.int64)
+        if len(self.frequent):
+            value = grams.view(np.int64)
+            at = np.minimum(np.searchsorted(self.frequent, value), len(self.frequent) - 1)
+            known = self.frequent[at] == value
+            out[known] = self.lists[at[known]]
+        return out
+
+
 def bucket_of(gram: np.ndarray, bits: int) -> np.ndarray:
     return (mix(gram.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def run_counts(classes: DataFrame, bits: int = BUCKET_BITS) -> Broadcast:
-    """Occurrences of runs by bucket: 2**bits numbers, 4 MB, at every size of the corpus."""
+def global_order(classes: DataFrame, bits: int | None = None, part: int = PART) -> Broadcast:
+    """Count the runs of all classes: the table by bucket, whose size follows from ``n``, and exact counts of frequent runs."""
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(total, 1)))) - 2))
+    size = 1 << min(bits, PIECE_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            values = batch.column(0).flatten().to_numpy()
-            counts += np.bincount(bucket_of(values, bits), minlength=1 << bits)
-        rows = np.flatnonzero(counts)
-        block = rows >> 10  # a row for each 1024 buckets that has any
-        for b in np.unique(block):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], type=pa.int32()), "counts": pa.array([counts[b << 10 : (b + 1) << 10].tolist()], type=pa.list_(pa.int64()))})
+            _, grams = lists_of(batch.column(0))
+            counts += np.bincount(bucket_of(grams, bits), minlength=1 << bits)
+        for k in range(0, 1 << bits, size):
+            if counts[k : k + size].any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k // size], type=pa.int32()), "counts": pa.array([counts[k : k + size].tobytes()], type=pa.binary())})
+
+    def level(frame: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"])
+        steps = np.where(counts > 0, np.minimum(255, np.ceil(STEPS * np.log2(np.maximum(counts, 1)))), 0).astype(np.uint8)
+        return pd.DataFrame({"piece": [frame["piece"].iloc[0]], "levels": [steps.tobytes()]})
+
+    levels = np.zeros(1 << bits, dtype=np.uint8)
+    for row in classes.select("grams").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInPandas(level, "piece int, levels binary").toLocalIterator():
+        levels[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["levels"], dtype=np.uint8)  # 2**bits bytes in all
+    most = max(part, total >> 18)
+    high = int(np.floor(STEPS * np.log2(most)))
+    frequent, lists = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    spark = classes.sparkSession
+    if levels.max(initial=0) >= high:
+        sent = spark.sparkContext.broadcast(levels >= high)
+
+        def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, grams = lists_of(batch.column(0))
+                runs, n = np.unique(grams[sent.value[bucket_of(grams, bits)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n)], names=["run", "n"])
+
+        exact = classes.select("grams").mapInArrow(crowded, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > most).toPandas().sort_values("run")  # fewer than 2**18 rows
+        frequent, lists = exact["run"].to_numpy(np.int64), -(-exact["n"].to_numpy(np.int64) // most)
+    return spark.sparkContext.broadcast(Order(bits, levels, frequent, lists))
+
+
+def needed(a, b, p: int = NUMERATOR, q: int = DENOMINATOR):
+    """The least overlap of sets of these sizes with similarity of at least p/q: ceil(p (a + b) / (p + q))."""
+    return (p * (a + b) + (p + q - 1)) // (p + q)
 
-    partial = classes.select("grams").mapInArrow(run, "block int, counts array<bigint>")
-    total = partial.select("block", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("block", "at").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << bits, dtype=np.uint32)
-    frame = total.select((F.col("block") * 1024 + F.col("at")).alias("bucket"), F.least("n", F.lit(2**32 - 1)).alias("n")).toPandas()
-    table[frame["bucket"].to_numpy()] = frame["n"].to_numpy()
-    return classes.sparkSession.sparkContext.broadcast(table)
 
+def sketches_of(part: np.ndarray, grams: np.ndarray, parts: int) -> np.ndarray:
+    """For each part the parities of its runs in 256 bins: the symmetric difference of two sets has at least as many runs as their sketches have differing bits."""
+    width = 64 * WORDS
+    cell = part * width + (mix(grams.view(np.uint64) ^ _BIN) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=parts * width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, WORDS)
 
-def ordered(grams: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """The runs in global order, by count and then by value."""
-    return grams[np.lexsort((grams, table[bucket_of(grams, bits)]))]
 
+def run_keys(grams: np.ndarray, salt: int | np.ndarray = 0) -> np.ndarray:
+    """A key of 63 bits for each run and salt."""
+    return ((mix(grams.view(np.uint64) ^ np.uint64(_KEY)) ^ mix(np.asarray(salt, dtype=np.uint64) + np.uint64(1))) >> np.uint64(1)).astype(np.int64)
 
-def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
-    """A row for each different set: a number ``id``, ``sig``, ``grams`` and the aggregates asked for. The numbers hold once this is written."""
-    return sets.groupBy("sig").agg(F.first("grams").alias("grams"), *more).withColumn("id", F.monotonically_increasing_id())
 
+def dealt(times: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Repeat each place ``times`` times, with a running number, in portions of about ``most``."""
+    yield from expand(np.zeros(len(times), dtype=np.int64), times, most)
 
-def level_of(size: np.ndarray) -> np.ndarray:
-    """0 for a set that stays whole, k for one that is cut into 4**k parts."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / FIRST) / 2 - 1e-12)).astype(np.int64)
 
+def expand(first: np.ndarray, count: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places k with each of first[k], ..., first[k] + count[k] - 1, in portions of about ``most`` pairs."""
+    total = np.cumsum(count)
+    low = 0
+    while low < len(count):
+        done = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, done + most, side="right")))
+        c = count[low:high]
+        n = int(c.sum())
+        if n:
+            yield np.repeat(np.arange(low, high), c), np.arange(n) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[low:high], c)
+        low = high
 
-def needed(a: Column, b: Column, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
-    """The least overlap of sets of these sizes with similarity of at least p/q: ceil(p (a + b) / (p + q))."""
-    return F.floor((F.lit(p) * (a + b) + (p + q - 1)) / F.lit(p + q)).cast("int")
-
-
-def _posted(level: int, sets: list[np.ndarray], table: np.ndarray, bits: int, p: int, q: int) -> tuple[np.ndarray, ...]:
-    """For sets cut into 4**level parts: row, run, position in its part, size of the part and sketch, for the prefixes of all parts."""
-    m = 4**level
-    sizes = np.array([len(s) for s in sets])
-    grams = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    hashed = mix(grams.view(np.uint64) ^ _CUT)
-    part = row * m + ((hashed >> np.uint64(64 - 2 * level)).astype(np.int64) if level else 0)
-    order = np.lexsort((grams, table[bucket_of(grams, bits)], part))
-    part, grams, row = part[order], grams[order], row[order]
-    size = np.bincount(part, minlength=len(sets) * m)
-    pos = np.arange(len(grams)) - (np.cumsum(size) - size)[part]
-    own = size[part]
-    keep = pos <= own - (p * own + q - 1) // q
-    cell = part * (64 * WORDS) + (mix(grams.view(np.uint64) ^ _BIN) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(size) * 64 * WORDS) & 1).astype(np.uint8)
-    sketches = np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, WORDS)
-    return row[keep], grams[keep], pos[keep], own[keep], sketches[part[keep]]
-
-
-def postings(classes: DataFrame, counts: Broadcast, *, bits: int = BUCKET_BITS, p: int = NUMERATOR, q: int = DENOMINATOR, part: int = PART, replicate: bool) -> DataFrame:
-    """``key, meta, id, s0..s3``: the prefix of each part of each class.
-
-    ``key`` is a hash of the run, the level of cutting and the list; ``meta``
-    packs the class's size, whether the level is its own, the part's size and the
-    position. A part of n runs that is similar to another shares one of its first
-    n - ceil(p n / q) + 1 runs with that one's prefix. A class whose larger
-    partners may be cut more finely is also posted at their level.
-
-    The sketch: the symmetric difference of two parts has at least as many runs as
-    their sketches have differing bits. ``replicate``: a posting goes to each list
-    of its run, else to one of them.
+
+def meet(postings: DataFrame, partners: Callable, admitted: Callable, extra: str = "") -> DataFrame:
+    """``id_x, id_y`` (and the columns of ``extra``) for the postings that meet in a list and are admitted.
+
+    ``postings`` have ``key, id, ...`` with key >> 1 naming the list. They are
+    brought together and sorted by key; a list goes through a task in portions,
+    and each portion of pairs is filtered in arrays.
+    ``partners(key)`` gives the first partner and the number of partners of each of
+    the sorted postings; ``admitted(columns, x, y)`` the pairs that stay, as arrays
+    of the output's columns.
     """
+    columns = postings.columns
+    names = ["id_x", "id_y", *[c.split()[0] for c in extra.split(",") if c]]
+
+    def work(held: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+        table = pa.Table.from_batches(held)
+        key = table.column("key").to_numpy()
+        stop = len(key) if last else int(np.searchsorted(key >> 1, key[-1] >> 1))  # the last list may go on
+        rest = table.slice(stop).combine_chunks().to_batches()
+        if not stop:
+            return [], rest
+        arrays = {c: table.column(c).slice(0, stop).to_numpy() for c in columns}
+        out = []
+        for x, y in expand(*partners(arrays["key"])):
+            found = admitted(arrays, x, y)
+            if len(found[0]):
+                out.append(pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=names))
+        return out, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        held: list[pa.RecordBatch] = []
+        size = wanted = 0
         for batch in batches:
-            values, offsets, ids = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
-            size = np.diff(offsets)
-            own, upper = level_of(size), level_of(np.maximum(size * q // p, size))
-            for level in range(int(upper.max(initial=0)) + 1):
-                rows = np.flatnonzero((own == level) | ((own < level) & (upper >= level)))
-                step = max(1, 2048 // 4**level)
-                for i in range(0, len(rows), step):
-                    some = rows[i : i + step]
-                    row, gram, pos, of, sketches = _posted(level, [values[offsets[k] : offsets[k + 1]] for k in some], table, bits, p, q)
-                    times = np.minimum(table[bucket_of(gram, bits)] // part + 1, 1 << 16).astype(np.int64)
-                    listed = np.zeros(len(gram), dtype=np.int64)
-                    if times.max() > 1 and replicate:
-                        listed = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                        row, gram, pos, of, sketches = (np.repeat(x, times, axis=0) for x in (row, gram, pos, of, sketches))
-                    elif times.max() > 1:
-                        listed = (mix(ids[some][row]) >> np.uint64(1)).astype(np.int64) % times
-                    at = some[row]
-                    key = mix(gram.view(np.uint64) ^ np.uint64(_KEY * (level + 1) % 2**64)) ^ mix(listed) * (listed > 0)
-                    meta = (size[at].astype(np.int64) << 33) | ((own[at] == level).astype(np.int64) << 32) | (of << 16) | pos
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(meta), pa.array(ids[at]), *[pa.array(np.ascontiguousarray(sketches[:, w])) for w in range(WORDS)]], names=["key", "meta", "id", *[f"s{w}" for w in range(WORDS)]]
-                    )
-
-    return classes.select("id", "grams").mapInArrow(run, "key bigint, meta bigint, id bigint, " + ", ".join(f"s{w} bigint" for w in range(WORDS)))
-
-
-def _field(of: str, name: str) -> Column:
-    meta = F.col(f"{of}.meta")
-    return {
-        "size": F.shiftright(meta, 33).cast("int"),
-        "own": F.shiftright(meta, 32).bitwiseAND(1).cast("int"),
-        "part": F.shiftright(meta, 16).bitwiseAND(0xFFFF).cast("int"),
-        "pos": meta.bitwiseAND(0xFFFF).cast("int"),
-    }[name]
-
-
-def short_prefix(of: str) -> Column:
-    """Is the posting in the prefix that is enough against parts of its size and more?"""
-    n = _field(of, "part")
-    return _field(of, "pos") <= n - needed(n, n)
-
-
-def smaller(x: str, y: str) -> Column:
-    """An order of parts by size, then by class."""
-    a, b = _field(x, "part"), _field(y, "part")
-    return (a < b) | ((a == b) & (F.col(f"{x}.id") < F.col(f"{y}.id")))
-
-
-def admitted(x: str, y: str, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
-    """Can postings x and y, with equal keys, belong to parts of a pair whose first common run this is?
-
-    Length: the sizes' ratio is at least p/q, for the whole and for the part.
-    Position: what follows in both parts is enough for the overlap. Sketch: the
-    symmetric difference isn't too large. One of them is posted at its own level.
-    """
-    size_x, size_y, a, b = _field(x, "size"), _field(y, "size"), _field(x, "part"), _field(y, "part")
-    need = needed(a, b, p, q)
-    differ = sum((F.bit_count(F.col(f"{x}.s{w}").bitwiseXOR(F.col(f"{y}.s{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    lengths = (q * size_y >= p * size_x) & (q * size_x >= p * size_y) & (q * b >= p * a) & (q * a >= p * b)
-    places = F.least(a - _field(x, "pos"), b - _field(y, "pos")) >= need
-    return (differ <= a + b - 2 * need) & places & lengths & (_field(x, "own") + _field(y, "own") > 0)
-
-
-def candidates(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
-    """``id_x, id_y``: each pair of different classes that some postings admit once, in the order of the sides."""
-    met = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & admitted("x", "y"))
-    for condition in more:
-        met = met.where(condition)
-    return met.select(F.col("x.id").alias("id_x"), F.col("y.id").alias("id_y")).distinct()
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > wanted + TOGETHER:
+                out, held = work(held, False)
+                size = wanted = sum(b.num_rows for b in held)  # what is left of a list waits for as much again
+                yield from out
+        if held:
+            yield from work(held, True)[0]
+
+    sorted_ = postings.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    return sorted_.mapInArrow(run, "id_x bigint, id_y bigint" + (f", {extra}" if extra else ""))
+
+
+def differing(columns: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of x and y differ."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for w in range(WORDS):
+        s = columns[f"s{w}"]
+        out += np.bitwise_count((s[x] ^ s[y]).view(np.uint64))
+    return out

@@ -41,7 +41,7 @@ def test_runs_are_those_of_the_plain_text(text):
 
 
 def test_levels():
-    assert setjoin.level_of(np.array([1, 128, 129, 512, 513, 2048, 2049])).tolist() == [0, 0, 1, 1, 2, 2, 3]
+    assert overlap.level_of(np.array([1, 128, 129, 512, 513, 2048, 2049])).tolist() == [0, 0, 1, 1, 2, 2, 3]
 
 
 @pytest.mark.parametrize("part", [2, 4096])
