@@ -102,10 +102,19 @@ def postings(pieces: DataFrame, order: Broadcast) -> DataFrame:
     return pieces.select("id", "ordered", "ends", "short", "long").mapInArrow(run, f"key bigint, id bigint, meta bigint, seg bigint, {setjoin.SKETCH}")
 
 
-def within(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The partners of each posting: those that follow it in its list."""
-    here = np.arange(len(key))
-    return here + 1, np.searchsorted(key, key, side="right") - here - 1
+def prepared(c: dict[str, np.ndarray], p: int = NUMERATOR, q: int = DENOMINATOR) -> dict[str, np.ndarray]:
+    """The fields of sorted postings: sizes, runs before and in the fragment, flags."""
+    meta, seg = c["meta"], c["seg"]
+    n, before, there = meta >> 32, seg >> 32, seg & 0xFFFFFFFF
+    place = (setjoin.ranked(c["key"]) << 32) | n
+    small = lambda v: v.astype(np.int32)
+    return c | {"place": place, "upto": place - n + n * q // p, "n": small(n), "before": small(before), "there": small(there), "after": small(n - before - there), "flags": small(meta & 7), "fragment": small(meta >> 8 & 0xFF)}
+
+
+def within(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The partners of each posting whose shorter prefix reaches the fragment: those that follow it in its list, which is sorted by size and class, up to the greatest size that a pair allows."""
+    here = np.arange(len(c["place"]))
+    return here + 1, np.where(c["flags"] & 1 > 0, np.searchsorted(c["place"], c["upto"], side="right") - here - 1, 0)
 
 
 def admitted(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, p: int = NUMERATOR, q: int = DENOMINATOR) -> tuple[np.ndarray, ...]:
@@ -113,24 +122,19 @@ def admitted(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, p: int = NU
 
     Length: the two sets may differ in at most a + b - 2 need runs, and they differ
     at least by the differences of what they have before, in and after the
-    fragment. The fragment is one that the smaller one's shorter prefix reaches.
-    Sketches: as many differing bits at most.
+    fragment. Sketches: as many differing bits at most.
     """
-    meta, ids, seg = c["meta"], c["id"], c["seg"]
-    swap = (meta[x] >> 32 > meta[y] >> 32) | ((meta[x] >> 32 == meta[y] >> 32) & (ids[x] > ids[y]))
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    mx, my = meta[x], meta[y]
-    a, b = mx >> 32, my >> 32
-    ok = (mx & 1 > 0) & ((mx & 2 > 0) | ((mx ^ my) & 4 > 0)) & (q * a >= p * b)
-    x, y, a, b = x[ok], y[ok], a[ok], b[ok]
-    most = a + b - 2 * setjoin.needed(a, b, p, q)
-    hx, hy, ex, ey = seg[x] >> 32, seg[y] >> 32, seg[x] & 0xFFFFFFFF, seg[y] & 0xFFFFFFFF
-    apart = np.abs(hx - hy) + np.abs(ex - ey) + np.abs((a - hx - ex) - (b - hy - ey))
-    ok = apart <= most
+    both = c["n"][x] + c["n"][y]
+    most = both - 2 * setjoin.needed(both, 0, p, q)
+    apart = sum(np.abs(c[f][x] - c[f][y]) for f in ("before", "there", "after"))
+    ok = np.flatnonzero(apart <= most)
     x, y, most = x[ok], y[ok], most[ok]
-    ok = setjoin.differing(c, x, y) <= most
+    ok = np.flatnonzero(setjoin.differing(c, x, y) <= most)
+    x, y = x[ok], y[ok]
+    flags = c["flags"]
+    ok = (flags[x] & 2 > 0) | ((flags[x] ^ flags[y]) & 4 > 0)
     x, y = x[ok], y[ok]
-    return ids[x], ids[y], (meta[x] >> 8 & 0xFF).astype(np.int32)
+    return c["id"][x], c["id"][y], c["fragment"][x]
 
 
 def _need(a: str, b: str, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
@@ -139,7 +143,7 @@ def _need(a: str, b: str, p: int = NUMERATOR, q: int = DENOMINATOR) -> Column:
 
 def links_of(pieces: DataFrame, order: Broadcast, count: int) -> DataFrame:
     """``sig_x, sig_y, similarity`` of every pair of different classes that reach the threshold."""
-    met = setjoin.meet(postings(pieces, order), within, admitted, "fragment int")
+    met = setjoin.meet(postings(pieces, order), ["shiftright(meta, 32)", "id"], prepared, within, admitted, "fragment int")
     partial = met.groupBy("id_x", "id_y", "fragment").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
     summed = partial.groupBy("id_x", "id_y").agg(F.sum("overlap").cast("int").alias("head"))
     summed = materialize(summed, "neardup-partial")

@@ -39,7 +39,7 @@ PART = 4096
 #: 64-bit words of a sketch.
 WORDS = 4
 #: Postings that meet at once, and pairs that are looked at together.
-TOGETHER, PAIRS = 200_000, 1_000_000
+TOGETHER, PAIRS = 200_000, 250_000
 _KEY, _BIN = 0xD6E8FEB86659FD93, np.uint64(0x5851F42D4C957F2D)
 SKETCH = ", ".join(f"s{w} bigint" for w in range(WORDS))
 
@@ -144,9 +144,18 @@ def global_order(classes: DataFrame, bits: int | None = None, part: int = PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            counts.__iadd__(np.bincount(np.concatenate(waiting), minlength=1 << bits))
+            waiting.clear()
+
         for batch in batches:
-            _, grams = lists_of(batch.column(0))
-            counts += np.bincount(bucket_of(grams, bits), minlength=1 << bits)
+            waiting.append(bucket_of(lists_of(batch.column(0))[1], bits).astype(np.int32))
+            if sum(map(len, waiting)) > 1 << bits:
+                add()
+        if waiting:
+            add()
         for k in range(0, 1 << bits, size):
             if counts[k : k + size].any():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([k // size], type=pa.int32()), "counts": pa.array([counts[k : k + size].tobytes()], type=pa.binary())})
@@ -214,15 +223,15 @@ def expand(first: np.ndarray, count: np.ndarray, most: int = PAIRS) -> Iterator[
         low = high
 
 
-def meet(postings: DataFrame, partners: Callable, admitted: Callable, extra: str = "") -> DataFrame:
+def meet(postings: DataFrame, order: list[str], prepare: Callable, partners: Callable, admitted: Callable, extra: str = "") -> DataFrame:
     """``id_x, id_y`` (and the columns of ``extra``) for the postings that meet in a list and are admitted.
 
     ``postings`` have ``key, id, ...`` with key >> 1 naming the list. They are
-    brought together and sorted by key; a list goes through a task in portions,
-    and each portion of pairs is filtered in arrays.
-    ``partners(key)`` gives the first partner and the number of partners of each of
-    the sorted postings; ``admitted(columns, x, y)`` the pairs that stay, as arrays
-    of the output's columns.
+    brought together and sorted by key and ``order``; a list goes through a task in
+    portions, and each portion of pairs is filtered in arrays. ``prepare`` makes
+    arrays of the sorted columns; ``partners`` gives the first partner and the
+    number of partners of each posting, ``admitted`` the pairs (x, y) that stay, as
+    arrays of the output's columns.
     """
     columns = postings.columns
     names = ["id_x", "id_y", *[c.split()[0] for c in extra.split(",") if c]]
@@ -234,9 +243,9 @@ def meet(postings: DataFrame, partners: Callable, admitted: Callable, extra: str
         rest = table.slice(stop).combine_chunks().to_batches()
         if not stop:
             return [], rest
-        arrays = {c: table.column(c).slice(0, stop).to_numpy() for c in columns}
+        arrays = prepare({c: table.column(c).slice(0, stop).to_numpy() for c in columns})
         out = []
-        for x, y in expand(*partners(arrays["key"])):
+        for x, y in expand(*partners(arrays)):
             found = admitted(arrays, x, y)
             if len(found[0]):
                 out.append(pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=names))
@@ -256,14 +265,19 @@ def meet(postings: DataFrame, partners: Callable, admitted: Callable, extra: str
         if held:
             yield from work(held, True)[0]
 
-    sorted_ = postings.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    sorted_ = postings.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", *map(F.expr, order))
     return sorted_.mapInArrow(run, "id_x bigint, id_y bigint" + (f", {extra}" if extra else ""))
 
 
+def ranked(key: np.ndarray) -> np.ndarray:
+    """The running number of each of the sorted keys."""
+    return np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.int64)
+
+
 def differing(columns: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits in which the sketches of x and y differ."""
-    out = np.zeros(len(x), dtype=np.int64)
+    out = np.zeros(len(x), dtype=np.int32)
     for w in range(WORDS):
-        s = columns[f"s{w}"]
-        out += np.bitwise_count((s[x] ^ s[y]).view(np.uint64))
+        s = columns[f"s{w}"].view(np.uint64)
+        out += np.bitwise_count(s[x] ^ s[y])
     return out
