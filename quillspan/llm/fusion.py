@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.skew import split_ranks
+from quillspan.operators.skew import lookup, split_ranks
 from quillspan.session import materialize
 
 SCORES = ("dense", "bm25", "hybrid")
-#: Items that meet in one step of the comparison for majority winners.
+#: Neighbouring places whose items meet in one step of the comparison for majority winners.
 CHUNK = 64
 
 
@@ -62,44 +62,42 @@ def fused(ranked: DataFrame, group: str, item: str, most: int = 200_000, ranges:
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(group, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"))
     inside = cut.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
-    return inside.join(starts, [group, "_range"]).withColumn("place", (F.col("_base") + F.col("_at")).cast("long")).drop("_range", "_base", "_at")
+    return inside.join(starts.hint("merge"), [group, "_range"]).withColumn("place", (F.col("_base") + F.col("_at")).cast("long")).drop("_range", "_base", "_at")
 
 
-def majority_winners(ranked: DataFrame, group: str, item: str, scores: tuple[str, ...] = SCORES) -> DataFrame:
+def majority_winners(placed: DataFrame, group: str, item: str, scores: tuple[str, ...] = SCORES) -> DataFrame:
     """``group, item``: the item that is higher than each other item of its group on most of the scores, where there is one.
 
-    The ranks narrow it down: such a winner shares or loses a place to each other
-    item in a minority of the scores, which bounds the sum of its ranks. The
-    candidates of a group meet in chunks of CHUNK, the better of two goes on, and
-    a winner survives every meeting; the one survivor is then held against all.
+    ``placed`` is the order by median rank (:func:`fused`), and it says who can
+    win: another item is as high or higher than a winner in a minority of the
+    scores. So the winner's ranks, less 1, sum up to at most lose (n - 1), and those
+    from the median on, as large as the median at least, bound the median itself.
+    These items, for three scores at most the upper half by median rank, meet in
+    the order of their places, CHUNK neighbouring places at a time: the better of
+    two goes on, and a winner survives every meeting. The one survivor is then held
+    against all items of its group.
     """
     need = len(scores) // 2 + 1
     lose = len(scores) - need  # scores in which another item may be as high or higher
     r = [f"rank_{s}" for s in scores]
-    ranked = materialize(ranked.select(group, item, "n", *r), "ranked")
-    # the middle of the places counts half of the equals; the sum over scores of those above and half of the others can't exceed lose for each other item
-    possible = sum((F.col(c) for c in r), F.lit(0.0)) <= len(scores) + lose * (F.col("n") - 1)
+    placed = materialize(placed.select(group, item, "n", "place", "median_rank", "mean_rank", *r), "placed")
+    room = F.lit(lose) * (F.col("n") - 1)
+    upper = len(scores) - (len(scores) + 1) // 2 + 1  # ranks from the (lower) median on
+    possible = (F.col("median_rank") <= 1 + room / upper + 1e-9) & (F.col("mean_rank") <= 1 + room / len(scores) + 1e-9)
 
     def beats(x: Column, y: Column) -> Column:
         return sum((F.when(x[c] < y[c], 1).otherwise(0) for c in r), F.lit(0)) >= need
 
-    me = F.struct(F.col(item).alias("item"), *r)
-    left = ranked.where(possible).select(group, me.alias("x"))
-    most = left.groupBy(group).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    me = F.struct((F.col("place") - 1).alias("at"), F.col(item).alias("item"), "n", *r)
+    left = placed.where(possible).select(group, me.alias("x"))
+    most = placed.agg(F.max("n").alias("m")).first()["m"] or 0
     kind = left.schema["x"].dataType
-    while True:
-        chunks = max(1, -(-most // CHUNK))
-        fold = F.aggregate(
-            F.col("xs"),
-            F.lit(None).cast(kind),
-            lambda best, x: F.when(best.isNull() | beats(x, best), x).when(beats(best, x), best),
-        )
-        left = left.groupBy(group, F.pmod(F.xxhash64("x"), F.lit(chunks)).alias("_c")).agg(F.collect_list("x").alias("xs")).select(group, fold.alias("x")).where("x IS NOT NULL")
-        if chunks == 1:
-            break
-        # hash chunks are uneven, so that the next round's size is counted, not computed
-        left = materialize(left, "survivors")
-        most = left.groupBy(group).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    against = ranked.join(left.withColumnRenamed("x", "w"), group).where(F.col(item) != F.col("w.item"))
+    fold = F.aggregate(F.array_sort("xs"), F.lit(None).cast(kind), lambda best, x: F.when(best.isNull() | beats(x, best), x).when(beats(best, x), best))
+    width = 1
+    while width < most or width == 1:
+        width *= CHUNK  # survivors of CHUNK neighbouring chunks are CHUNK at most
+        left = left.groupBy(group, F.floor(F.col("x.at") / width).alias("_c")).agg(F.collect_list("x").alias("xs")).select(group, fold.alias("x")).where("x IS NOT NULL")
+    left = materialize(left.select(group, F.col("x.n").alias("_n"), F.col("x").alias("w")), "survivors")
+    against = lookup(placed.select(group, item, *r), left, group, "_n").where(F.col(item) != F.col("w.item"))
     lost = against.where(~beats(F.col("w"), F.struct(*r))).select(group).distinct()
-    return left.select(group, F.col("x.item").alias(item)).join(lost, group, "left_anti")
+    return left.select(group, F.col("w.item").alias(item)).join(lost.hint("merge"), group, "left_anti")

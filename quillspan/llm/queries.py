@@ -87,7 +87,8 @@ def p6_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.majority_winners(fusion.rank_items(table(spark, folder, "retrieved"), "qid", "pid"), "qid", "pid")
+    """The first of each question's ranking that is higher than each other passage on two of the three scores, if there is one."""
+    return fusion.majority_winners(p6_ranking(spark, folder), "qid", "pid")
 
 
 def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -107,7 +107,16 @@ def test_ranks_and_winners(spark):
     split = {(r["qid"], r["pid"]): r["place"] for r in fusion.fused(ranked, "qid", "pid", most=10, ranges=8).collect()}
     assert split == {k: r["place"] for k, r in got.items()}
     want = {(q, p) for q, own in by.items() for p, s in own.items() if all(sum(a > b for a, b in zip(s, t)) >= 2 for o, t in own.items() if o != p)}
-    assert {tuple(r) for r in fusion.majority_winners(ranked, "qid", "pid").collect()} == want and ("won", 199) in want
+    placed = fusion.fused(ranked, "qid", "pid")
+    assert {tuple(r) for r in fusion.majority_winners(placed, "qid", "pid").collect()} == want and ("won", 199) in want
+
+
+def test_winner_with_a_poor_median(spark):
+    """A winner that is second in every score loses to three others by median rank at one score each."""
+    rows = [("q", 0, 2.0, 2.0, 2.0, 1), ("q", 1, 3.0, 1.0, 1.0, 1), ("q", 2, 1.0, 3.0, 1.0, 1), ("q", 3, 1.0, 1.0, 3.0, 1)]
+    rows += [("r", k, float(a), float(b), float(c), 1) for k, (a, b, c) in enumerate([(5, 5, 0), (6, 1, 1), (1, 6, 2), (0, 0, 9)])]
+    placed = fusion.fused(fusion.rank_items(spark.createDataFrame(rows, SCORES), "qid", "pid"), "qid", "pid")
+    assert ("q", 0) in {tuple(r) for r in fusion.majority_winners(placed, "qid", "pid").collect()}
 
 
 def test_weights(spark):
@@ -118,4 +127,4 @@ def test_weights(spark):
 
 def test_no_items(spark):
     none = fusion.rank_items(spark.createDataFrame([], SCORES), "qid", "pid")
-    assert fusion.fused(none, "qid", "pid").count() == 0 and fusion.majority_winners(none, "qid", "pid").count() == 0
+    assert fusion.fused(none, "qid", "pid").count() == 0 and fusion.majority_winners(fusion.fused(none, "qid", "pid"), "qid", "pid").count() == 0
