@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of the longest text that is encoded in one piece.
-LEAF = 8192
+#: Characters of the longest part that is encoded in one piece: a leaf of the tree.
+LEAF = 256
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
 
 
@@ -85,7 +86,10 @@ class Encoder:
         return left[:k] + self.bpe.encode_ordinary(text[a:b]) + right[j:]
 
     def _cut_before(self, text: str, start: int, middle: int) -> int:
-        """The last cut before ``middle`` whose neighbours both lie in the left half, else ``start``."""
+        """A cut before ``middle`` whose neighbours both lie in the left half, the last if the nearest blank gives none, else ``start``."""
+        k = text.rfind(" ", max(start + 1, middle - self.window), middle)
+        if k > 0 and text[k - 1] in _PLAIN:
+            return k
         width = self.window
         while True:
             low = max(start, middle - width)
@@ -100,7 +104,10 @@ class Encoder:
             width *= 2
 
     def _cut_after(self, text: str, middle: int, end: int) -> int:
-        """The first cut after ``middle`` whose neighbours both lie in the right half, else ``end``."""
+        """A cut after ``middle`` whose neighbours both lie in the right half, the first if the nearest blank gives none, else ``end``."""
+        k = text.find(" ", middle + 1, min(end, middle + self.window))
+        if k > 0 and text[k - 1] in _PLAIN:
+            return k
         m = _CUT.search(text, middle + 1, end)
         return m.start() if m else end
 
