@@ -144,7 +144,8 @@ def p10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which at least 30 % of the windows are repeated."""
-    return repetition.repetitive(p10_repetition(spark, folder)).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    measured = repetition.repetition(table(spark, folder, "documents"), "doc_id", "text", every=False)
+    return repetition.repetitive(measured).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,6 +127,23 @@ def test_repetition(spark):
         assert 0 <= by[k]["content_share"] <= 1
     want = {k for k, t in rows if share(t)[1] and share(t)[0] >= 0.3 * share(t)[1]}
     assert {r["doc_id"] for r in repetition.repetitive(got).collect()} == want and len(want) > 20
+    # counted for the documents only that the field doesn't retain, the result is the same
+    some = repetition.repetition(frame, "doc_id", "text", every=False)
+    assert {r["doc_id"] for r in repetition.repetitive(some).collect()} == want
+    assert {r["doc_id"] for r in some.where("windows IS NULL").collect()} == {r["doc_id"] for r in got.where("retained").collect()}
+
+
+def test_rare_repetition_is_found(spark):
+    """No repeated line in the sample: those said again teach it."""
+    pick = random.Random(4)
+    plain_text = lambda: " ".join("".join(pick.choices("abcdefghijklmnop", k=pick.randrange(2, 9))) for _ in range(60)) + ".\n"
+    rows = [(k, "".join(plain_text() for _ in range(4))) for k in range(300)]
+    model = repetition.fit_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    one = plain_text()
+    rows.append((999, one * 3))
+    got = repetition.repetition(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", model)
+    assert [r["doc_id"] for r in repetition.repetitive(got).collect()] == [999]
+    assert got.where("retained").count() >= 290
 
 
 def test_repetition_of_nothing(spark):
