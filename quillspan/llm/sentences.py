@@ -9,8 +9,12 @@ runs over these places. A line break always ends a sentence.
 
 Training needs no labels from outside: in texts that stand one sentence a line,
 the line ends are the boundaries. Their lines are joined again with blanks, or
-with nothing, so that the chain sees the boundaries without the breaks; where a
-script has no full stops the text it learns from has none either.
+with nothing, so that the chain sees the boundaries without the breaks; in
+scripts that part sentences by blanks all stops are stripped first.
+
+Text without any marks, in scripts that write no blanks either, has a second chain
+that tags every character: it learns from sentences of these scripts whose closing
+marks are stripped, and decodes stretches of BARE letters or more without a mark.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.chain import Chain, fit
@@ -29,6 +35,10 @@ from quillspan.llm.chain import Chain, fit
 SAMPLE, LINES = 4000, 3
 #: Longest line of such a text, in characters.
 LONGEST = 400
+#: Letters in a row without a mark from which a text without blanks counts as unpunctuated; sentences that its chain is fitted on, at most.
+BARE, BARE_SAMPLE = 60, 3000
+#: Characters of a text that the chains are fitted on, at most.
+STRETCH = 20_000
 BREAKS = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 _BREAK = re.compile(f"[{BREAKS}]+")
 #: Marks that can end a sentence (fixed values).
@@ -46,6 +56,10 @@ _WORD = re.compile(r"[^\s“”„«»\"‘’「」（）()\[\]¿¡,;:，、：
 _AHEAD = re.compile(r"[^\s(«“„\".!?。！？।]+\.?(?=[\s\u00a0]*$)")
 _NEXT = re.compile(r"\w[\w'’-]*")
 _CLAUSE = re.compile(f"[^{re.escape(STOPS)},，、;；:：{BREAKS}“„«「]*")
+_STOP = re.compile(f"[{re.escape(STOPS)}]+")
+#: Letters in a row of scripts without blanks, and their sentences with closing marks (fixed values).
+_BARE = re.compile(f"(?:{UNSPACED.pattern}|[\u3005\u3006\u3007\u30fc0-9A-Za-z]){{{BARE},}}")
+_CLOSED = re.compile(f"((?:{UNSPACED.pattern}|[\u3005\u3006\u3007\u30fc、，0-9A-Za-z]){{4,}})[。！？｡]+(?![」』）”])")
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff"
 
 
@@ -104,7 +118,7 @@ def places(text: str) -> list[tuple[int, list[str] | None]]:
                 continue
             touch = before.isdigit() or after.isdigit()
             own = bool(UNSTOPPED.match(before)), bool(UNSTOPPED.match(after))
-            out.append((i, ["blank", f"blank touch {touch}", f"blank {own} {touch}", f"blank inside {bool(stack)} {touch}", f"rule {not touch and not stack}"]))
+            out.append((i, ["blank", f"blank touch {touch}", f"blank {own} {touch}", f"blank inside {bool(stack)} {touch}"]))
             continue
         if c not in STOPS:
             if stack and c == stack[-1][0]:
@@ -159,9 +173,8 @@ def places(text: str) -> list[tuple[int, list[str] | None]]:
             word = word.lower()
         short = word if len(word) <= 6 or "." in word else ""
         shape = "digits" if word.replace(",", "").replace(".", "").isdigit() else "letter" if len(word) == 1 else "dotted" if "." in word else "short" if len(word) <= 3 else "long" if word else "empty"
-        plainly = depth == "no" and kind not in ("lower", "comma", "dash", "mark") and (gap or kind in ("han", "end", "break") or stop[0] not in ".…" or kind in ("upper", "open") and shape == "long") and not (lead == "start" and how == "quote")
         features = [
-            "stop", f"rule {plainly}", f"stop {stop}", f"gap {gap} {kind} {stop[0]}", f"depth {depth}", f"closed {how} {lead} {kind}",
+            "stop", f"stop {stop}", f"gap {gap} {kind} {stop[0]}", f"depth {depth}", f"closed {how} {lead} {kind}",
             f"shape {shape} {kind} {gap}", f"{stop} {how} {kind}",
         ]
         if stop[0] == ".":
@@ -198,6 +211,10 @@ def _training(texts: list[str], seed: int = 7) -> tuple[list[list[list[str]]], l
         # a line without a closing mark is a heading: nothing but the break ends it
         parts, ends, at = [], set(), 0
         for n, s in enumerate(lines):
+            if UNSTOPPED.search(s):
+                s = _STOP.sub("", s).strip()
+            if not s:
+                continue
             ended = s[-1] in STOPS or s[-1] in CLOSERS or bool(UNSTOPPED.search(s))
             if not ended:
                 if n + 1 < len(lines):
@@ -212,22 +229,66 @@ def _training(texts: list[str], seed: int = 7) -> tuple[list[list[list[str]]], l
         found = places(joined)
         if found:
             sequences.append([f or [] for _, f in found])
-            # a line may hold two sentences without a blank between; their border is as good as a line's end
-            tags.append([int(i in ends or (f is not None and "shape long upper False" in f and "depth no" in f)) for i, f in found])
+            tags.append([int(i in ends) for i, f in found])
     return sequences, tags
 
 
-def fit_boundaries(texts: DataFrame, text: str, sample: int = SAMPLE) -> Chain:
-    """Fit the chain on at most ``sample`` texts that have LINES lines or more, those with the lowest hashes."""
-    lined = texts.where(F.size(F.split(F.col(text), f"[{BREAKS}]+")) >= LINES).select(F.col(text).alias("_t"))
-    n = lined.count()
-    share = min(1.0, 2.0 * sample / max(n, 1))
-    h = F.xxhash64("_t")
-    rows = lined.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(h).limit(sample).collect()
-    return fit(*_training([r["_t"] for r in rows]), rounds=150, penalty=0.3)
+@dataclass
+class Model:
+    """The chain over closing marks and blanks, and the one over the characters of unpunctuated text."""
+
+    marks: Chain
+    bare: Chain = field(default_factory=Chain)
+
+
+def _around(text: str, i: int) -> list[str]:
+    """What surrounds the place after character ``i`` of unpunctuated text."""
+    a, b, c, d = text[i - 1 : i], text[i], text[i + 1 : i + 2], text[i + 2 : i + 3]
+    return ["always", f"b {b}", f"ab {a}{b}", f"c {c}", f"cd {c}{d}", f"bc {b}{c}", f"kind {_kind(text, i)} {_kind(text, i + 1)}"]
+
+
+def _stripped(texts: list[str], most: int, seed: int = 11) -> tuple[list[list[list[str]]], list[list[int]]]:
+    """Sentences of scripts without blanks, their marks stripped, joined to sequences; the last character of each is a boundary."""
+    known = sorted({m[1].replace("、", "").replace("，", "") for t in texts for m in _CLOSED.finditer(t)})
+    pick = random.Random(seed)
+    pick.shuffle(known)
+    sequences, tags = [], []
+    for i in range(0, min(len(known), most), 8):
+        joined = "".join(known[i : i + 8])
+        ends = set(np.cumsum([len(x) for x in known[i : i + 8]]).tolist())
+        sequences.append([_around(joined, k) for k in range(len(joined))])
+        tags.append([int(k + 1 in ends) for k in range(len(joined))])
+    return sequences, tags
+
+
+def fit_boundaries(texts: DataFrame, text: str, sample: int = SAMPLE) -> Model:
+    """Fit the chains on at most ``sample`` texts each: for marks those that have LINES lines or more, for unpunctuated text those of its scripts; those with the lowest hashes.
+
+    One scan. A longer text gives a stretch of STRETCH characters at a drawn place.
+    """
+    lined = F.size(F.split(F.col(text), f"[{BREAKS}]+")) >= LINES
+    unspaced = F.col(text).rlike(UNSPACED.pattern)
+    h = F.xxhash64(text)
+    n = texts.count()
+    few = int(min(1.0, 16.0 * sample / max(n, 1)) * (1 << 20))  # bounds what a partition sends
+    start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - STRETCH + 1)) + 1
+    found = texts.where(F.pmod(h, F.lit(1 << 20)) < few).select(F.substring(F.col(text), start.cast("int"), F.lit(STRETCH)).alias("_t"), h.alias("_h"), F.explode(F.array_compact(F.array(F.when(lined, "lines"), F.when(unspaced, "bare")))).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy("_h"))
+    rows = found.withColumn("_r", rank).where(F.col("_r") <= sample).select("_k", "_t").orderBy("_k", "_r").collect()
+    of = lambda k: [r["_t"] for r in rows if r["_k"] == k]
+    return Model(fit(*_training(of("lines")), rounds=150, penalty=0.3), fit(*_stripped(of("bare"), BARE_SAMPLE), rounds=60, penalty=0.3, least=2))
+
+
+def _parted(text: str, chain: Chain) -> list[int]:
+    """Boundaries inside the unpunctuated stretches of a text."""
+    out = []
+    for m in _BARE.finditer(text):
+        tags = chain.tag([_around(m[0], k) for k in range(len(m[0]))])
+        out += [m.start() + k + 1 for k, tag in enumerate(tags[:-1]) if tag]
+    return out
 
 
-def sentences_of(text: str | None, chain: Chain) -> list[tuple[int, int]]:
+def sentences_of(text: str | None, model: Model) -> list[tuple[int, int]]:
     """The sentences of a text as (start, end) in code points, in order.
 
     A sentence holds a letter or digit. Marks that stand alone after a sentence of
@@ -240,7 +301,7 @@ def sentences_of(text: str | None, chain: Chain) -> list[tuple[int, int]]:
     run: list[tuple[int, list[str]]] = []
 
     def decode() -> None:
-        tags = chain.tag([f for _, f in run])
+        tags = model.marks.tag([f for _, f in run])
         ends.extend((i, False) for (i, _), tag in zip(run, tags) if tag)
         run.clear()
 
@@ -251,6 +312,10 @@ def sentences_of(text: str | None, chain: Chain) -> list[tuple[int, int]]:
         else:
             run.append((i, features))
     decode()
+    if model.bare.weight:
+        parted = _parted(text, model.bare)
+        if parted:
+            ends = sorted([*ends, *((i, False) for i in parted)])
     ends.append((len(text), True))
     out: list[tuple[int, int]] = []
     start, fresh = 0, True  # fresh: no sentence of this line yet
@@ -270,24 +335,24 @@ def sentences_of(text: str | None, chain: Chain) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(texts: DataFrame, key: str, text: str, chain: Chain | None = None) -> DataFrame:
+def sentences(texts: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
     """The key, ``sent_idx`` from 0, ``sent_start``, ``sent_end`` and ``sentence``: a row for each sentence of each row's text.
 
     Offsets count code points; a sentence runs through its last closing mark,
     quote or bracket. Texts without letters and digits give no row. The key may be
     null; rows aren't compared with each other. One pass, no shuffle.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(chain or fit_boundaries(texts, text))
+    sent = texts.sparkSession.sparkContext.broadcast(model or fit_boundaries(texts, text))
     kind = texts.select(key).schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        known = sent.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 rows, number, starts, ends, spans = [], [], [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
-                    for n, (a, b) in enumerate(sentences_of(t, model)):
+                    for n, (a, b) in enumerate(sentences_of(t, known)):
                         rows.append(k)
                         number.append(n)
                         starts.append(a)

@@ -60,6 +60,39 @@ def test_frame(spark, chain):
     assert S.sentences(none, "pid", "text").count() == 0
 
 
+def unpunctuated(pick, n):
+    """Sentences of Japanese and of Chinese, made of parts."""
+    ja = (["王朝は", "寺院の僧は", "市場の商人は", "若い画家が", "町の人々も", "川の南で兵士が"], ["港を", "古い橋を", "大きな地図を", "丘の上の塔を", "冬の祭りを", "新しい船を"], ["守った", "測った", "記録した", "建てました", "忘れなかった", "描いていた"])
+    zh = (["王朝", "寺院的僧人", "市场的商人", "年轻的画家", "城里的人们"], ["守护了", "测量过", "记录了", "建造了", "没有忘记"], ["港口", "古老的桥", "山上的塔", "冬天的节日", "新的船只"])
+    return ["".join(pick.choice(part) for part in kind) for kind in (pick.choice([ja, zh]) for _ in range(n))]
+
+
+def test_unpunctuated_text_without_blanks(spark):
+    """Held-out sentences without any mark come apart; the chain has learned from sentences with theirs stripped."""
+    import random
+
+    pick = random.Random(6)
+    rows = [("".join(x + "。" for x in unpunctuated(pick, 6)),) for _ in range(300)]
+    model = S.fit_boundaries(spark.createDataFrame(rows, "t string"), "t")
+    right = wrong = lost = 0
+    for _ in range(60):
+        parts = unpunctuated(pick, 10)
+        want, at = set(), 0
+        for x in parts:
+            at += len(x)
+            want.add(at)
+        got = {b for _, b in S.sentences_of("".join(parts), model)}
+        right, wrong, lost = right + len(want & got), wrong + len(got - want), lost + len(want - got)
+    assert right / (right + lost) > 0.95 and right / (right + wrong) > 0.95
+    heading = "古い橋の歴史"
+    assert [heading[a:b] for a, b in S.sentences_of(heading, model)] == [heading]
+
+
+def test_stops_of_unstopped_scripts_are_stripped_in_training():
+    sequences, _ = S._training(["\n".join(f"{t}." for t in THAI)])
+    assert sequences and not any("stop" in f for s in sequences for f in s)
+
+
 def test_long_text(chain):
     assert len(cut(" ".join(LINES * 300), chain)) == 300 * len(LINES)
 
