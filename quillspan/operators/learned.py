@@ -103,15 +103,14 @@ def closed_methods(rows: DataFrame) -> DataFrame:
     return rows.select("ord", "article", "correct", F.explode(pairs).alias("_m")).select(F.col("_m.method").alias("method"), "ord", "article", F.col("_m.risk").alias("risk"), "correct")
 
 
-def training_spans(featured: DataFrame, texts: DataFrame, golds: DataFrame, per_positive: int = 400, seed: int = SEED) -> DataFrame:
+def training_spans(featured: DataFrame, golds: DataFrame, per_positive: int = 400, seed: int = SEED) -> DataFrame:
     """The span scorer's rows with ``label`` and ``weight`` (both labels weigh the same in all).
 
-    ``featured`` are candidates with features, ``texts`` adds ``answer``, ``golds``
-    has ``qid, golds (normalised), is_impossible``. Questions with an answer that no
+    ``featured`` are candidates with features and their text ``answer``, ``golds`` has ``qid, golds (normalised), is_impossible``. Questions with an answer that no
     candidate equals are left out; negatives are drawn without replacement,
     ``per_positive`` for each positive, or as many for an unanswerable question.
     """
-    rows = featured.join(texts.select("pid", "start", "len", normalize_answer(F.col("answer")).alias("_norm")), ["pid", "start", "len"]).join(golds, "qid")
+    rows = featured.withColumn("_norm", normalize_answer(F.col("answer"))).join(golds, "qid")
     rows = rows.withColumn("label", (~F.col("is_impossible") & F.array_contains("golds", F.col("_norm"))).cast("double"))
     w = Window.partitionBy("qid")
     rows = rows.withColumn("_pos", F.sum("label").over(w)).where("is_impossible OR size(golds) = 0 OR _pos > 0")
@@ -159,7 +158,7 @@ class Reader:
         featured = S.features(asked, toks, self.idf, cands).persist()
         gold = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: normalize_answer(a)), lambda a: a != "")
         golds = questions.select("qid", gold.alias("golds"), F.coalesce("is_impossible", F.lit(False)).alias("is_impossible")).dropDuplicates(["qid"])
-        rows = training_spans(featured, S.span_texts(cands, toks), golds, self.per_positive, self.seed)
+        rows = training_spans(S.span_texts(featured, passages), golds, self.per_positive, self.seed)
         self.scorer = fit_trees(rows, S.FEATURES, "label", weight="weight", iterations=self.iterations, seed=self.seed)
         raw = probability(self.scorer, featured, "raw")
         heads = null_features(raw, asked, toks).join(golds.select("qid", F.col("is_impossible").cast("double").alias("label")), "qid")
@@ -179,7 +178,7 @@ class Reader:
         cands = S.candidates(toks)
         scored = softmax(probability(self.scorer, S.features(asked.drop("rank"), toks, self.idf, cands), "raw"), ["qid", "pid"], "raw")
         w = Window.partitionBy("qid", "pid").orderBy(F.desc("raw"), "start", "len")
-        best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("qid", "pid", "start", "len", "raw", "prob", "entropy")
+        best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("qid", "pid", "start", "len", "c0", "c1", "raw", "prob", "entropy")
         nulls = probability(self.null, null_features(scored, asked, toks), "null_score").select("qid", "pid", "null_score")
-        named = S.span_texts(best, toks)
+        named = S.span_texts(best, passages).drop("c0", "c1")
         return named.join(nulls, ["qid", "pid"]).join(asked.select("qid", "pid", "rank"), ["qid", "pid"])

@@ -49,9 +49,10 @@ sz AS (SELECT q.qid, (SELECT count(*) FROM c) - coalesce(o.n, 0) + CASE WHEN g.a
 lim AS (SELECT b.*, CASE WHEN count(*) OVER w < valid THEN least(0, min(d) OVER w) ELSE min(d) OVER w END AS dl, max(d) OVER w AS dh,
   CASE WHEN count(*) OVER w < valid THEN least(0, min(l) OVER w) ELSE min(l) OVER w END AS ll, max(l) OVER w AS lh FROM both_ b JOIN sz USING (qid) WINDOW w AS (PARTITION BY qid)),
 fus AS (SELECT qid, pid, d AS dense, round((l - ll) / (lh - ll + 1e-9), 6) AS bm25, round(0.5 * ((d - dl) / (dh - dl + 1e-9)) + 0.5 * ((l - ll) / (lh - ll + 1e-9)), 6) AS hybrid FROM lim)"""
-TOKENS = f"""{CORPUS}, t0 AS (SELECT pid, regexp_extract_all(text, '{TOKEN}') AS a FROM c),
-t1 AS (SELECT pid, unnest(a) AS token, unnest(range(len(a))) AS pos, len(a) AS n FROM t0),
-tok AS (SELECT pid, pos, token, lower(token) AS low, CAST(regexp_matches(token, '^\\p{{Lu}}') AS INT) AS is_cap, CAST(regexp_matches(token, '^[\\p{{Nd}},.]+$') AS INT) AS is_num,
+TOKENS = f"""{CORPUS}, t0 AS (SELECT pid, text, regexp_extract_all(text, '{TOKEN}') AS a, regexp_split_to_array(text, '{TOKEN}') AS g FROM c),
+t1 AS (SELECT pid, unnest(a) AS token, unnest(g[1:len(a)]) AS gap, unnest(range(len(a))) AS pos, len(a) AS n FROM t0),
+tok AS (SELECT pid, CAST(sum(length(token) + length(gap)) OVER (PARTITION BY pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(token) AS INT) AS c0,
+  CAST(sum(length(token) + length(gap)) OVER (PARTITION BY pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS c1, pos, token, lower(token) AS low, CAST(regexp_matches(token, '^\\p{{Lu}}') AS INT) AS is_cap, CAST(regexp_matches(token, '^[\\p{{Nd}},.]+$') AS INT) AS is_num,
   CAST(lower(token) IN ({STOP}) AS INT) AS is_stop, (lower(token) IN ({STOP}) OR token IN ({EDGE})) AS is_edge, n,
   CAST(coalesce(sum(CASE WHEN token IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS sent_id FROM t1)"""
 ASKED = f"""{ASKABLE}, ask AS (SELECT qid, gold_pid AS pid, {CONTENT('question')} AS words, {QTYPE('question')} AS qtype FROM q WHERE gold_pid IS NOT NULL)"""
@@ -132,7 +133,7 @@ def span_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def span_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.candidates(spans.tokens(_corpus(spark, folder)))
+    return spans.candidates(spans.tokens(_corpus(spark, folder))).select("pid", "start", "len", "c0", "c1")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,8 +155,8 @@ def span_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_spans(spark: SparkSession, folder: str) -> DataFrame:
     """By question, the candidates of its gold passage that are one of its answers."""
-    toks = spans.tokens(_corpus(spark, folder))
-    texts = spans.span_texts(spans.candidates(toks), toks).withColumn("norm", T.normalize_answer(F.col("answer")))
+    c = _corpus(spark, folder)
+    texts = spans.span_texts(spans.candidates(spans.tokens(c)), c).withColumn("norm", T.normalize_answer(F.col("answer")))
     q = table(spark, folder, "questions").where("qid IS NOT NULL AND gold_pid IS NOT NULL AND answers IS NOT NULL").select("qid", F.col("gold_pid").alias("pid"), F.explode(F.col("answers")).alias("gold")).select("qid", "pid", T.normalize_answer(F.col("gold")).alias("norm")).where("norm <> ''").distinct()
     return q.join(texts, ["pid", "norm"]).groupBy("qid").agg(F.countDistinct("start", "len").alias("spans"), F.min("start").alias("first_start"))
 
@@ -164,11 +165,10 @@ def training_spans(spark: SparkSession, folder: str) -> DataFrame:
     """The candidates that a span scorer would be fitted on, with 400 negatives for each positive, and their labels."""
     c = _corpus(spark, folder)
     toks = spans.tokens(c)
-    cands = spans.candidates(toks)
-    featured = spans.features(_asked(spark, folder), toks, retrieval.idf(c), cands)
+    featured = spans.features(_asked(spark, folder), toks, retrieval.idf(c), spans.candidates(toks))
     gold = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: T.normalize_answer(a)), lambda a: a != "")
     golds = table(spark, folder, "questions").where("qid IS NOT NULL").groupBy("qid").agg(F.max(F.coalesce("is_impossible", F.lit(False))).alias("is_impossible"), F.first(gold).alias("golds"))
-    return learned.training_spans(featured, spans.span_texts(cands, toks), golds).select("qid", "pid", "start", "len", "label", F.round("weight", 6).alias("weight"))
+    return learned.training_spans(spans.span_texts(featured, c), golds).select("qid", "pid", "start", "len", "label", F.round("weight", 6).alias("weight"))
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,16 +191,18 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mask_faults(spark: SparkSession, folder: str) -> DataFrame:
-    """Retrieved siblings of the question's own article other than its gold passage; empty for our own retrieval."""
-    found = retrieve_bm25(spark, folder).join(_corpus(spark, folder).select("pid", F.col("article").alias("p_article")), "pid").join(_askable(spark, folder), "qid")
-    return found.where("p_article = article AND NOT (pid <=> gold_pid)").select("qid", "pid")
+    """Retrieved siblings of the question's own article other than its gold passage, by source: our own search (none) and the table retrieved."""
+    own = retrieve_bm25(spark, folder).select(F.lit("search").alias("source"), "qid", "pid")
+    given = table(spark, folder, "retrieved").where("qid IS NOT NULL AND pid IS NOT NULL").select(F.lit("table").alias("source"), "qid", "pid").distinct()
+    found = own.unionByName(given).join(_corpus(spark, folder).select("pid", F.col("article").alias("p_article")), "pid").join(_askable(spark, folder), "qid")
+    return found.where("p_article = article AND NOT (pid <=> gold_pid)").select("source", "qid", "pid").distinct()
 
 
 _PUNCT = T.PUNCTUATION.replace("'", "''")
 NORM = lambda c: (
     f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(translate(lower(coalesce({c}, '')), '{_PUNCT}', ''), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda t: CASE WHEN t IN ('a', 'an', 'the') THEN ' ' ELSE t END), ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 )
-CANDIDATES = """cand AS (SELECT a.pid, a.pos AS start, b.pos - a.pos + 1 AS len FROM tok a JOIN tok b ON a.pid = b.pid AND b.pos BETWEEN a.pos AND a.pos + 7 WHERE NOT a.is_edge AND NOT b.is_edge)"""
+CANDIDATES = """cand AS (SELECT a.pid, a.pos AS start, b.pos - a.pos + 1 AS len, a.c0, b.c1 FROM tok a JOIN tok b ON a.pid = b.pid AND b.pos BETWEEN a.pos AND a.pos + 7 WHERE NOT a.is_edge AND NOT b.is_edge)"""
 
 SQL = {
     "corpus_stats": """SELECT p.*, q.*, round(unanswerable / greatest(questions, 1), 4) AS unanswerable_frac FROM (SELECT count(DISTINCT article) AS articles, count(DISTINCT pid) AS passages FROM passages) p,
@@ -213,20 +215,22 @@ SQL = {
     "retrieve_tfidf": f"WITH {CORPUS}, {ASKABLE}, {COSINE} SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank, pid, score FROM den) WHERE rank <= 5",
     "retrieve_hybrid": f"WITH {BM25}, {COSINE}, {HYBRID} SELECT qid, rank, pid, dense, bm25, hybrid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid DESC, pid) AS rank FROM fus) WHERE rank <= 20",
     "gold_in_top": f"""WITH {BM25}, top AS (SELECT qid, list(pid) AS pids FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM lex) WHERE rank <= 5 GROUP BY 1)
-      SELECT part, count(*) AS n, round(avg(CASE WHEN list_contains(pids, gold_pid) THEN 1 ELSE 0 END), 6) AS gold_in_k FROM q JOIN top USING (qid) JOIN article_split USING (article) GROUP BY 1""",
+      SELECT part, count(*) AS n, round(avg(CASE WHEN coalesce(list_contains(pids, gold_pid), false) THEN 1 ELSE 0 END), 6) AS gold_in_k FROM q LEFT JOIN top USING (qid) JOIN article_split USING (article) GROUP BY 1""",
     "question_types": f"WITH {ASKABLE} SELECT DISTINCT qid, {QTYPE('question')} AS qtype, array_to_string(list_sort({CONTENT('question')}), ' ') AS content FROM q",
-    "span_tokens": f"WITH {TOKENS} SELECT pid, pos, token, low, is_cap, is_num, is_stop, is_edge, sent_id, n FROM tok",
-    "span_candidates": f"WITH {TOKENS} SELECT a.pid, a.pos AS start, b.pos - a.pos + 1 AS len FROM tok a JOIN tok b ON a.pid = b.pid AND b.pos BETWEEN a.pos AND a.pos + 7 WHERE NOT a.is_edge AND NOT b.is_edge",
+    "span_tokens": f"WITH {TOKENS} SELECT pid, pos, token, low, is_cap, is_num, is_stop, is_edge, sent_id, n, c0, c1 FROM tok",
+    "span_candidates": f"WITH {TOKENS} SELECT a.pid, a.pos AS start, b.pos - a.pos + 1 AS len, a.c0, b.c1 FROM tok a JOIN tok b ON a.pid = b.pid AND b.pos BETWEEN a.pos AND a.pos + 7 WHERE NOT a.is_edge AND NOT b.is_edge",
     "sentence_overlap": f"WITH {TOKENS}, {ASKED}, {OVERLAP} SELECT qid, pid, sent_id, round(overlap, 6) AS overlap, sent_rank FROM rk",
     "span_features": f"""WITH {TOKENS}, {ASKED}, {OVERLAP}, {TERMS}, idf AS (SELECT term, ln((SELECT count(*) FROM c) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1),
       x AS (SELECT qid, tok.*, words, qtype, coalesce(idf, 8.0) AS idf, CAST(list_contains(words, low) AS INT) AS in_q, overlap, sent_rank FROM ask JOIN tok USING (pid) LEFT JOIN idf ON idf.term = low JOIN rk USING (qid, pid, sent_id)),
       y AS (SELECT *, coalesce(sum(is_cap) OVER b, 0) AS c_cap, coalesce(sum(is_num) OVER b, 0) AS c_num, coalesce(sum(is_stop) OVER b, 0) AS c_stop, coalesce(sum(in_q) OVER b, 0) AS c_inq, coalesce(sum(idf) OVER b, 0) AS c_idf,
         coalesce(least(pos - max(CASE WHEN in_q = 1 THEN pos END) OVER (PARTITION BY qid, pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(CASE WHEN in_q = 1 THEN pos END) OVER (PARTITION BY qid, pid ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pos), n) AS dist
         FROM x WINDOW b AS (PARTITION BY qid, pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      z AS (SELECT s.*, e.pos - s.pos + 1 AS len, e.c_cap + e.is_cap - s.c_cap AS t_cap, e.c_num + e.is_num - s.c_num AS t_num, e.c_stop + e.is_stop - s.c_stop AS t_stop, e.c_inq + e.in_q - s.c_inq AS t_inq, e.c_idf + e.idf - s.c_idf AS t_idf,
-        e.sent_id AS e_sent, e.c_inq + e.in_q AS e_end, max(s.sent_rank < 3) OVER (PARTITION BY s.qid, s.pid) AS any_kept FROM y s JOIN y e ON s.qid = e.qid AND s.pid = e.pid AND e.pos BETWEEN s.pos AND s.pos + 7 WHERE NOT s.is_edge AND NOT e.is_edge),
-      k AS (SELECT z.*, l.c_inq AS l_c, z.pos - greatest(z.pos - 4, 0) AS l_n, r.c_inq + r.in_q AS r_c, least(z.pos + z.len + 4, z.n) - z.pos - z.len AS r_n FROM z
-        JOIN y l ON l.qid = z.qid AND l.pid = z.pid AND l.pos = greatest(z.pos - 4, 0) JOIN y r ON r.qid = z.qid AND r.pid = z.pid AND r.pos = least(z.pos + z.len + 4, z.n) - 1 WHERE z.sent_rank < 3 OR NOT any_kept)
+      h AS (SELECT qid, pid, list({{'cap': c_cap, 'num': c_num, 'stop': c_stop, 'inq': c_inq, 'idf': c_idf, 'edge': is_edge, 'sent': sent_id, 'c1': c1, 'ecap': c_cap + is_cap, 'enum': c_num + is_num, 'estop': c_stop + is_stop, 'einq': c_inq + in_q, 'eidf': c_idf + idf}} ORDER BY pos) AS t,
+        min(CASE WHEN NOT is_edge THEN sent_rank END) AS best FROM y GROUP BY 1, 2),
+      z AS (SELECT y.*, t, unnest(range(1, least(8, n - pos) + 1)) AS len FROM y JOIN h USING (qid, pid) WHERE NOT is_edge AND (sent_rank < 3 OR best >= 3)),
+      w AS (SELECT *, t[pos + len] AS e FROM z),
+      k AS (SELECT *, e.ecap - c_cap AS t_cap, e.enum - c_num AS t_num, e.estop - c_stop AS t_stop, e.einq - c_inq AS t_inq, e.eidf - c_idf AS t_idf, e.sent AS e_sent, e.einq AS e_end, t[greatest(pos - 4, 0) + 1].inq AS l_c, pos - greatest(pos - 4, 0) AS l_n,
+        t[least(pos + len + 4, n)].einq AS r_c, least(pos + len + 4, n) - pos - len AS r_n FROM w WHERE NOT e.edge)
       SELECT qid, pid, pos AS start, len, {", ".join(f"round({e}, 5) AS {n}" for n, e in {
         "f_len": "CAST(len AS DOUBLE)", "f_cap": "t_cap / len", "f_num": "t_num / len", "f_stop": "t_stop / len", "f_inq": "t_inq / len", "f_idf": "t_idf / len", "f_dist": "CAST(dist AS DOUBLE)", "f_overlap": "overlap", "f_rel": "pos / n",
         "f_same": "CAST(sent_id = e_sent AS DOUBLE)", "f_start_cap": "CAST(is_cap AS DOUBLE)", "f_cap_wanted": "t_cap / len * CAST(qtype IN ('who', 'where', 'which') AS DOUBLE)", "f_num_wanted": "t_num / len * CAST(qtype IN ('when', 'how_many') AS DOUBLE)",
@@ -240,18 +244,20 @@ SQL = {
       SELECT qid, round(h[1], 9) AS r_sim_top1, round(CASE WHEN len(h) > 1 THEN h[1] - h[2] ELSE h[1] END, 9) AS r_sim_margin, round(list_sum(h) / len(h), 9) AS r_sim_mean_k, round(-neg, 5) AS r_sim_entropy,
         round(CAST(len(list_filter(h, lambda x: x > 0.3)) AS DOUBLE), 5) AS r_n_above_tau, round(CASE WHEN len(cw) > 0 THEN len(list_filter(cw, lambda x: list_contains(lows, x))) / len(cw) ELSE 0 END, 5) AS r_lex_overlap,
         round(CAST(len(list_filter(regexp_split_to_array(question, '[\\s\\p{{Z}}]+'), lambda x: x <> '')) AS DOUBLE), 5) AS r_q_len FROM m""",
-    "gold_spans": f"""WITH {TOKENS}, {CANDIDATES}, tx AS (SELECT pid, start, len, {NORM("array_to_string(list_slice(a, start + 1, start + len), ' ')")} AS norm FROM cand JOIN t0 USING (pid)),
+    "gold_spans": f"""WITH {TOKENS}, {CANDIDATES}, tx AS (SELECT pid, start, len, {NORM("substring(text, c0 + 1, c1 - c0)")} AS norm FROM cand JOIN t0 USING (pid)),
       g AS (SELECT DISTINCT qid, pid, {NORM('gold')} AS norm FROM (SELECT qid, gold_pid AS pid, unnest(answers) AS gold FROM questions WHERE qid IS NOT NULL AND gold_pid IS NOT NULL AND answers IS NOT NULL))
       SELECT qid, count(DISTINCT (start, len)) AS spans, min(start) AS first_start FROM g JOIN tx USING (pid, norm) WHERE norm <> '' GROUP BY 1""",
     "evidence": f"""WITH {CORPUS}, tx AS (SELECT pid, min(struct_pack(article := article, text := text)) AS t FROM c GROUP BY 1), r AS (SELECT qid, rank, min(struct_pack(pid := pid, dense := dense, bm25 := bm25, hybrid := hybrid)) AS s FROM retrieved GROUP BY 1, 2)
       SELECT qid, rank, s.pid AS pid, t.article AS article, round(s.hybrid, 6) AS score, substr(t.text, 1, 400) AS shown FROM r LEFT JOIN tx ON tx.pid = s.pid WHERE rank <= 5""",
-    "mask_faults": "SELECT CAST(NULL AS VARCHAR) AS qid, CAST(NULL AS BIGINT) AS pid WHERE false",
+    "mask_faults": f"""WITH {BM25}, own AS (SELECT 'search' AS source, qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM lex) WHERE rank <= 5
+      UNION ALL SELECT DISTINCT 'table', qid, pid FROM retrieved WHERE qid IS NOT NULL AND pid IS NOT NULL)
+      SELECT DISTINCT source, own.qid, own.pid FROM own JOIN c ON c.pid = own.pid JOIN q ON q.qid = own.qid WHERE c.article = q.article AND own.pid IS DISTINCT FROM q.gold_pid""",
 }
-SQL["training_spans"] = f"""WITH {TOKENS}, f AS ({SQL["span_features"]}), tx AS (SELECT pid, start, len, {NORM("array_to_string(list_slice(a, start + 1, start + len), ' ')")} AS norm FROM (SELECT DISTINCT pid, start, len FROM f) JOIN t0 USING (pid)),
+SQL["training_spans"] = f"""WITH {TOKENS}, f AS ({SQL["span_features"]}), tx AS (SELECT pid, start, len, {NORM("substring(text, a.c0 + 1, b.c1 - a.c0)")} AS norm FROM (SELECT DISTINCT pid, start, len FROM f) JOIN t0 USING (pid) JOIN tok a USING (pid) JOIN tok b USING (pid) WHERE a.pos = start AND b.pos = start + len - 1),
   g AS (SELECT qid, max(coalesce(is_impossible, false)) AS imp, list_filter(list_transform(coalesce(any_value(answers), []), lambda x: {NORM('x')}), lambda x: x <> '') AS golds FROM questions WHERE qid IS NOT NULL GROUP BY 1),
   l AS (SELECT f.qid, f.pid, f.start, f.len, imp, golds, CAST(NOT imp AND list_contains(golds, norm) AS DOUBLE) AS label FROM f JOIN tx USING (pid, start, len) JOIN g USING (qid)),
   o AS (SELECT *, sum(label) OVER (PARTITION BY qid) AS pos FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY ('0x' || substr(md5('0|' || qid || '|' || start || '|' || len), 1, 8))::BIGINT, start, len) AS k FROM o WHERE imp OR len(golds) = 0 OR pos > 0),
-  r AS (SELECT * FROM k WHERE label = 1 OR k <= 5 * greatest(pos, 1)), t AS (SELECT sum(label) AS p, count(*) AS n FROM r)
+  r AS (SELECT * FROM k WHERE label = 1 OR k <= 400 * greatest(pos, 1)), t AS (SELECT sum(label) AS p, count(*) AS n FROM r)
   SELECT qid, pid, start, len, label, round(CASE WHEN label = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END, 6) AS weight FROM r, t"""
 QUERIES = [
     corpus_stats, term_idf, bm25_terms, tfidf_vectors, retrieve_bm25, retrieve_unmasked, retrieve_tfidf, retrieve_hybrid, retrieve_latent, gold_in_top, question_types,

@@ -67,5 +67,19 @@ def test_only_the_best_sentences_are_kept(spark, toks):
     assert rows and {r["f_sent_rank"] for r in rows} == {0.0}
 
 
-def test_texts(toks):
-    assert "Marta Ruiz" in {r["answer"] for r in S.span_texts(S.candidates(toks), toks).collect()}
+def test_surface_texts(spark):
+    """Spans are cut from the text: thousands, decimals, hyphens, odd blanks and marks outside ASCII stay as written."""
+    text = "  The  wall of 11,119 stones — 3.5 metres\nhigh — is the well-known\u00a0 O'Hara wall 👍🏽 ok."
+    p = spark.createDataFrame([(1, "x", text), (2, "x", "")], "pid long, article string, text string")
+    rows = S.span_texts(S.candidates(S.tokens(p)), p).collect()
+    answers = {r["answer"] for r in rows}
+    assert {"11,119 stones", "3.5 metres\nhigh", "well-known", "well-known\u00a0 O'Hara wall", "11,119", "ok"} <= answers
+    assert all(text[r["c0"] : r["c1"]] == r["answer"] for r in rows)
+
+
+def test_gold_with_thousands_is_found(spark, tmp_path):
+    from quillspan.plans import corpus_queries as C
+
+    spark.createDataFrame([(1, "a", 0, "The wall has 11,119 stones and a well-known gate.")], "pid long, article string, para_idx int, text string").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([("q1", "a", 1, "How many stones?", ["11,119"], False), ("q2", "a", 1, "What gate?", ["Well-known gate"], False)], "qid string, article string, gold_pid long, question string, answers array<string>, is_impossible boolean").write.parquet(f"{tmp_path}/questions.parquet")
+    assert {(r["qid"], r["spans"]) for r in C.gold_spans(spark, str(tmp_path)).collect()} == {("q1", 1), ("q2", 1)}
