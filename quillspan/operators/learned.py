@@ -1,40 +1,36 @@
 """Learned operators: span scorer, null head, risk model with isotonic calibration, and what is made of them.
 
-Gradient-boosted trees of pyspark.ml stand in for histogram boosting: trees grow
-by level, so learned numbers aren't the reference's; structure and direction are.
-Every fit takes a seed and a persisted input.
+All are boosted trees over histograms (:mod:`quillspan.operators.boosting`) of 200
+rounds at a rate of 0.1, fitted on a bounded number of rows; every fit takes a seed.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import hash_draw, normalize_answer
+from quillspan.operators import boosting
 from quillspan.operators import spans as S
+from quillspan.operators.boosting import Trees
 from quillspan.operators.signals import SIGNALS
+from quillspan.session import materialize
 
 ITERATIONS, RATE, SEED = 200, 0.1, 0
 
 
-def fit_trees(rows: DataFrame, columns: list[str], label: str, *, weight: str | None = None, iterations: int = ITERATIONS, depth: int = 4, seed: int = SEED) -> PipelineModel:
-    """Boosted trees over ``columns``; ``label`` is 0.0 or 1.0."""
-    trees = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=iterations, stepSize=RATE, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {}))
-    held = rows.persist()
-    try:
-        return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep"), trees]).fit(held)
-    finally:
-        held.unpersist()
+def save_models(models: dict[str, tuple[Trees, list[str]]], path: str) -> None:
+    """Write models by name, a row each."""
+    spark = SparkSession.active()
+    rows = [(name, bytearray(trees.packed()), columns) for name, (trees, columns) in models.items()]
+    spark.createDataFrame(rows, "name string, body binary, columns array<string>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def probability(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
-    """Add the model's probability of label 1."""
-    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+def load_models(path: str) -> dict[str, tuple[Trees, list[str]]]:
+    """Models that :func:`save_models` wrote."""
+    return {r["name"]: (boosting.unpacked(r["body"]), r["columns"]) for r in SparkSession.active().read.parquet(path).collect()}  # a row a model
 
 
 class RiskModel:
@@ -42,43 +38,52 @@ class RiskModel:
 
     def __init__(self, columns: list[str] | None = None, iterations: int = ITERATIONS, seed: int = SEED) -> None:
         self.columns, self.iterations, self.seed = columns or SIGNALS, iterations, seed
-        self.trees: PipelineModel | None = None
-        self.isotonic = None
+        self.trees: Trees | None = None
 
     def fit(self, rows: DataFrame, label: str = "error") -> RiskModel:
-        self.trees = fit_trees(rows, self.columns, label, iterations=self.iterations, seed=self.seed)
+        self.trees = boosting.fit_models(rows, {"risk": (self.columns, label)}, rounds=self.iterations, seed=self.seed)["risk"]
         return self
 
     def calibrate(self, rows: DataFrame, label: str = "error") -> RiskModel:
-        raw = probability(self.trees, rows, "_raw")
-        self.isotonic = IsotonicRegression(featuresCol="_raw", labelCol=label, predictionCol="_iso").fit(raw)
+        """Isotonic calibration on at most ``boosting.MOST`` rows, those with the lowest hashes."""
+        n = rows.count()
+        held = boosting.scored(rows.select(*self.columns, F.col(label).cast("double").alias("_y")), {"_p": (self.trees, self.columns)}, calibrated=False).select("_p", "_y")
+        if n > boosting.MOST:
+            held = held.where(F.pmod(F.xxhash64("_p", "_y"), F.lit(1 << 30)) < int(boosting.MOST / n * (1 << 30)))
+        frame = held.toPandas()
+        self.trees.xs, self.trees.ys = boosting.isotonic(frame["_p"].to_numpy(), frame["_y"].to_numpy())
         return self
 
     def risk(self, rows: DataFrame, calibrated: bool = True) -> DataFrame:
         """Add ``risk``, between 0 and 1."""
-        out = probability(self.trees, rows, "_raw")
-        if calibrated and self.isotonic is not None:
-            out = self.isotonic.transform(out).withColumn("risk", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_iso"))).drop("_iso")
-        else:
-            out = out.withColumn("risk", F.col("_raw"))
-        return out.drop("_raw")
+        return boosting.scored(rows, {"risk": (self.trees, self.columns)}, calibrated)
 
     def save(self, path: str) -> None:
-        self.trees.write().overwrite().save(f"{path}/trees")
-        if self.isotonic is not None:
-            self.isotonic.write().overwrite().save(f"{path}/isotonic")
+        save_models({"risk": (self.trees, self.columns)}, path)
 
 
-def load_risk_model(path: str, columns: list[str] | None = None) -> RiskModel:
+def load_risk_model(path: str) -> RiskModel:
     """A model that was saved with :meth:`RiskModel.save`."""
-    from pyspark.ml.regression import IsotonicRegressionModel
-
+    trees, columns = load_models(path)["risk"]
     out = RiskModel(columns)
-    out.trees = PipelineModel.load(f"{path}/trees")
-    out.isotonic = IsotonicRegressionModel.load(f"{path}/isotonic")
+    out.trees = trees
     return out
 
 
+def risk_models(rows: DataFrame, specs: dict[str, tuple[list[str], str]], iterations: int = ITERATIONS, seed: int = SEED) -> dict[str, tuple[Trees, list[str]]]:
+    """Fit (on rel_train) and calibrate (on rel_calib) a model for each of ``specs``, all in one job; ``rows`` have ``part``."""
+    own = rows.where("part IN ('rel_train', 'rel_calib')").withColumn("_late", F.col("part") == "rel_calib")
+    made = boosting.fit_models(own, specs, calibrates="_late", rounds=iterations, seed=seed)
+    return {name: (made[name], columns) for name, (columns, _) in specs.items()}
+
+
+def scores_of(rows: DataFrame, models: dict[str, tuple[Trees, list[str]]], *more: str, calibrated: bool = True) -> DataFrame:
+    """``method, ord, article, risk, correct`` (and ``more``) of every row by each model."""
+    wide = boosting.scored(rows, {f"_m{k}": m for k, m in enumerate(models.values())}, calibrated)
+    pairs = F.array(*[F.struct(F.lit(name).alias("method"), F.col(f"_m{k}").alias("risk")) for k, name in enumerate(models)])
+    return wide.select("ord", "article", "correct", *more, F.explode(pairs).alias("_z")).select(F.col("_z.method").alias("method"), "ord", "article", F.col("_z.risk").alias("risk"), "correct", *more)
+
+
 #: What each method is.
 METHODS = {
     "B1": "always answer",
@@ -96,11 +101,11 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(names), "method", "left")  # six rows
 
 
-def closed_methods(rows: DataFrame) -> DataFrame:
-    """``method, ord, article, risk, correct`` of the four methods without a model: always answer, span probability, first score, null score."""
+def closed_methods(rows: DataFrame, *more: str) -> DataFrame:
+    """``method, ord, article, risk, correct`` (and ``more``) of the four methods without a model: always answer, span probability, first score, null score."""
     risks = {"B1": F.lit(0.0), "B2": -F.col("d_span_prob"), "B3": -F.col("r_sim_top1"), "B4": F.col("d_null_score")}
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), r.cast("double").alias("risk")) for m, r in risks.items()])
-    return rows.select("ord", "article", "correct", F.explode(pairs).alias("_m")).select(F.col("_m.method").alias("method"), "ord", "article", F.col("_m.risk").alias("risk"), "correct")
+    return rows.select("ord", "article", "correct", *more, F.explode(pairs).alias("_m")).select(F.col("_m.method").alias("method"), "ord", "article", F.col("_m.risk").alias("risk"), "correct", *more)
 
 
 def training_spans(featured: DataFrame, golds: DataFrame, per_positive: int = 400, seed: int = SEED) -> DataFrame:
@@ -142,30 +147,44 @@ def null_features(scored: DataFrame, asked: DataFrame, toks: DataFrame) -> DataF
 NULL_FEATURES = "n_top1 n_top3 n_top5 n_gap n_std n_overlap n_words n_tokens".split()
 
 
+class SpanReader(Protocol):
+    """What answering needs of a reader: any object with this method can stand in for :class:`Reader`."""
+
+    def read(self, asked: DataFrame, passages: DataFrame) -> DataFrame:
+        """``qid, rank, pid, answer, raw, prob, entropy, len, null_score`` for ``asked``: ``qid, rank, pid, score, words, qtype``."""
+
+
 class Reader:
     """Picks a span in each passage read and the best over the passages; ``null_score`` says how likely there is no answer."""
 
     def __init__(self, idf: DataFrame, per_positive: int = 400, iterations: int = ITERATIONS, seed: int = SEED) -> None:
         self.idf, self.per_positive, self.iterations, self.seed = idf, per_positive, iterations, seed
-        self.scorer: PipelineModel | None = None
-        self.null: PipelineModel | None = None
+        self.scorer: Trees | None = None
+        self.null: Trees | None = None
 
     def fit(self, questions: DataFrame, passages: DataFrame) -> Reader:
         """``questions``: ``qid, gold_pid, question, answers, is_impossible`` of the training part; ``passages``: ``pid, article, text``."""
         asked = S.question_words(questions.where("gold_pid IS NOT NULL"))
         toks = S.tokens(passages.join(asked.select("pid").distinct(), "pid", "left_semi"))
         cands = S.candidates(toks)
-        featured = S.features(asked, toks, self.idf, cands).persist()
+        featured = materialize(S.features(asked, toks, self.idf, cands), "reader-features")
         gold = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: normalize_answer(a)), lambda a: a != "")
         golds = questions.select("qid", gold.alias("golds"), F.coalesce("is_impossible", F.lit(False)).alias("is_impossible")).dropDuplicates(["qid"])
         rows = training_spans(S.span_texts(featured, passages), golds, self.per_positive, self.seed)
-        self.scorer = fit_trees(rows, S.FEATURES, "label", weight="weight", iterations=self.iterations, seed=self.seed)
-        raw = probability(self.scorer, featured, "raw")
+        self.scorer = boosting.fit_models(materialize(rows, "reader-rows"), {"span": (list(S.FEATURES), "label")}, weight="weight", rounds=self.iterations, seed=self.seed)["span"]
+        raw = self._raw(featured)
         heads = null_features(raw, asked, toks).join(golds.select("qid", F.col("is_impossible").cast("double").alias("label")), "qid")
-        self.null = fit_trees(heads, NULL_FEATURES, "label", iterations=self.iterations, seed=self.seed)
-        featured.unpersist()
+        self.null = boosting.fit_models(materialize(heads, "reader-heads"), {"null": (NULL_FEATURES, "label")}, rounds=self.iterations, seed=self.seed)["null"]
         return self
 
+    def _raw(self, featured: DataFrame) -> DataFrame:
+        return boosting.scored(featured, {"raw": (self.scorer, list(S.FEATURES))}, calibrated=False)
+
+    def save(self, path: str) -> None:
+        """Write the term weights and both models."""
+        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+        save_models({"span": (self.scorer, list(S.FEATURES)), "null": (self.null, NULL_FEATURES)}, f"{path}/models")
+
     def read(self, asked: DataFrame, passages: DataFrame) -> DataFrame:
         """``qid, rank, pid, answer, raw, prob, entropy, len, null_score``: the best span of each passage read.
 
@@ -176,9 +195,18 @@ class Reader:
 
         toks = S.tokens(passages.join(asked.select("pid").distinct(), "pid", "left_semi"))
         cands = S.candidates(toks)
-        scored = softmax(probability(self.scorer, S.features(asked.drop("rank"), toks, self.idf, cands), "raw"), ["qid", "pid"], "raw")
+        raw = materialize(self._raw(S.features(asked.drop("rank"), toks, self.idf, cands)).select("qid", "pid", "start", "len", "c0", "c1", "raw"), "spans-scored")
+        scored = softmax(raw, ["qid", "pid"], "raw")
         w = Window.partitionBy("qid", "pid").orderBy(F.desc("raw"), "start", "len")
         best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("qid", "pid", "start", "len", "c0", "c1", "raw", "prob", "entropy")
-        nulls = probability(self.null, null_features(scored, asked, toks), "null_score").select("qid", "pid", "null_score")
+        nulls = boosting.scored(null_features(raw, asked, toks), {"null_score": (self.null, NULL_FEATURES)}, calibrated=False).select("qid", "pid", "null_score")
         named = S.span_texts(best, passages).drop("c0", "c1")
         return named.join(nulls, ["qid", "pid"]).join(asked.select("qid", "pid", "rank"), ["qid", "pid"])
+
+
+def load_reader(path: str) -> Reader:
+    """A reader that was saved with :meth:`Reader.save`."""
+    out = Reader(SparkSession.active().read.parquet(f"{path}/idf"))
+    models = load_models(f"{path}/models")
+    out.scorer, out.null = models["span"][0], models["null"][0]
+    return out

@@ -61,9 +61,9 @@ def calibration_bin(p: Column, bins: int = 10) -> Column:
 
 
 def reliability_bins(scored: DataFrame, bins: int = 10, more_than: int = 0) -> DataFrame:
-    """``method, bin, n, mean_risk, error_rate`` of the bins with more rows than ``more_than``."""
+    """``method, bin, n, mean_risk, error_rate`` of the bins with more rows than ``more_than``; risks are summed as decimals, whose sum has no order."""
     rows = scored.withColumn("bin", calibration_bin(F.col("risk"), bins)).where("bin IS NOT NULL")
-    out = rows.groupBy("method", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean_risk"), F.avg(1 - F.col("correct")).alias("error_rate"))
+    out = rows.groupBy("method", "bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("risk").cast("decimal(20,12)")).cast("double") / F.count(F.lit(1))).alias("mean_risk"), F.avg(1 - F.col("correct")).alias("error_rate"))
     return out.where(F.col("n") > more_than)
 
 
@@ -109,3 +109,53 @@ def histogram(values: DataFrame, by: list[str], value: str, bins: int = 20) -> D
 def excludes_zero(low: Column, high: Column) -> Column:
     """Does an interval lie on one side of zero?"""
     return (high < 0) | (low > 0)
+
+
+def with_intervals(scored: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """``method, error_auc_lo, error_auc_hi, aurc_lo, aurc_hi`` over resampled articles, both on the same draws."""
+    from quillspan.operators import resample
+
+    auc, area = (resample.bootstrap_interval(scored, m, reps, seed) for m in ("auc", "aurc"))
+    return auc.select("method", F.col("low").alias("error_auc_lo"), F.col("high").alias("error_auc_hi")).join(area.select("method", F.col("low").alias("aurc_lo"), F.col("high").alias("aurc_hi")), "method")
+
+
+def at_threshold(scored: DataFrame, chosen: DataFrame, target: float) -> DataFrame:
+    """``method, threshold, accuracy, coverage`` as chosen on one table, and what they come to on ``scored``: ``realised_accuracy, realised_coverage, gap`` to the target."""
+    rows = scored.join(F.broadcast(chosen.select("method", "threshold")), "method")  # a row a method
+    kept = F.col("risk") <= F.col("threshold")
+    seen = rows.groupBy("method").agg(F.avg(F.when(kept, F.col("correct"))).alias("realised_accuracy"), F.avg(kept.cast("int")).alias("realised_coverage"))
+    return chosen.join(seen, "method").withColumn("gap", F.col("realised_accuracy") - target)
+
+
+def require_control(control: DataFrame) -> None:
+    """Raise unless the error AUC of a model of shuffled labels lies between 0.45 and 0.55."""
+    row = control.first()
+    if row is None or not row["passed"]:
+        raise RuntimeError(f"the negative control failed: error AUC {row and row['error_auc']}")
+
+
+def gates(control: DataFrame, parts: DataFrame, compared: DataFrame, paired: DataFrame, calibration: DataFrame, latency: DataFrame) -> DataFrame:
+    """``gate, value, passed``: seven checks of an evaluation, from its six tables, of which one row each counts.
+
+    The control's ``error_auc``; the test part's ``error_rate``; the best
+    ``error_auc`` of the methods; the upper ends ``high`` of the paired differences
+    of P1 with B5 and B4; ``ece_after`` and ``gap``; the reliability layer's median.
+    """
+    one = [
+        control.agg(F.max("error_auc").alias("g0")),
+        parts.where("part = 'test'").agg((1 - F.max("error_rate")).alias("g1")),
+        compared.agg(F.max("error_auc").alias("g2")),
+        paired.agg(*[F.max(F.when(F.col("pair") == f"P1-{m}", F.col(c))).alias(f"g{k}_{c}") for k, m in ((3, "B5"), (4, "B4")) for c in ("mean", "high")]),
+        calibration.agg(F.max("ece_after").alias("g5"), F.max("gap").alias("g5_gap")),
+        latency.where("stage = 'reliability_layer'").agg(F.max("median_ms").alias("g6")),
+    ]
+    row = one[0]
+    for other in one[1:]:
+        row = row.crossJoin(F.broadcast(other))  # one row each
+    checks = [
+        ("G0", F.col("g0"), F.col("g0").between(0.45, 0.55)), ("G1", F.col("g1"), F.col("g1") >= 0.45), ("G2", F.col("g2"), F.col("g2") >= 0.70),
+        ("G3", F.col("g3_mean"), F.col("g3_high") < 0), ("G4", F.col("g4_mean"), F.col("g4_high") < 0),
+        ("G5", F.col("g5"), (F.col("g5") < 0.10) & (F.abs("g5_gap") <= 0.03)), ("G6", F.col("g6"), F.col("g6") < 100),
+    ]
+    each = F.array(*[F.struct(F.lit(n).alias("gate"), v.cast("double").alias("value"), F.coalesce(p, F.lit(False)).alias("passed")) for n, v, p in checks])
+    return row.select(F.explode(each).alias("_g")).select("_g.*")

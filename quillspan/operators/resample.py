@@ -106,15 +106,28 @@ def bootstrap_interval(scored: DataFrame, metric: str, reps: int = 1000, seed: i
     return values.groupBy("method").agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 
-def paired_difference(scored: DataFrame, a: str, b: str, metric: str, reps: int = 1000, seed: int = 0) -> DataFrame:
-    """``mean, low, high, excludes_zero`` of metric(a) - metric(b) on the same draws."""
-    values = replicate_metric(scored.where(F.col("method").isin(a, b)), metric, reps, seed)
+def difference(values: DataFrame, a: str, b: str) -> DataFrame:
+    """``mean, low, high, excludes_zero`` of the value of method ``a`` less that of ``b`` over replicates (``rep, method, value``)."""
     both = values.groupBy("rep").agg(F.max(F.when(F.col("method") == a, F.col("value"))).alias("x"), F.max(F.when(F.col("method") == b, F.col("value"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     d = F.col("x") - F.col("y")
     out = both.agg(F.avg(d).alias("mean"), F.percentile(d, 0.025).alias("low"), F.percentile(d, 0.975).alias("high"))
     return out.withColumn("excludes_zero", (F.col("high") < 0) | (F.col("low") > 0))
 
 
+def paired_difference(scored: DataFrame, a: str, b: str, metric: str, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """``mean, low, high, excludes_zero`` of metric(a) - metric(b) on the same draws."""
+    return difference(replicate_metric(scored.where(F.col("method").isin(a, b)), metric, reps, seed), a, b)
+
+
+def paired_statistic(scored: DataFrame, a: str, b: str, statistic: Callable, reps: int, seed: int) -> DataFrame:
+    """The same for any statistic of a pandas frame of one method's rows."""
+    values = None
+    for m in (a, b):
+        one = bootstrap_statistic(scored.where(F.col("method") == m), statistic, reps, seed).withColumn("method", F.lit(m))
+        values = one if values is None else values.unionByName(one)
+    return difference(values, a, b)
+
+
 def bootstrap_statistic(scored: DataFrame, statistic: Callable, reps: int, seed: int) -> DataFrame:
     """``rep, value`` of any statistic of a pandas frame of rows: the seam for metrics of one's own. One task a replicate."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -179,3 +192,19 @@ def shuffled(rows: DataFrame, column: str, order: list[str], seed: int) -> DataF
     places = running(keyed, ["_g"], order, {}).drop("n", column, "_d")
     values = running(keyed.select("_g", "_d", *order, F.col(column).alias("_v")), ["_g"], ["_d", *order], {}).select("rn", F.col("_v").alias(column))
     return places.join(values, "rn").drop("rn", "_g")
+
+
+def shuffled_columns(rows: DataFrame, columns: list[str], key: str, times: int, seed: int) -> DataFrame:
+    """Every row once for each of ``columns`` and each k below ``times``, with that column's value dealt anew: ``signal``, ``k`` and the columns.
+
+    The row at place r in the order of ``key`` gets the value of the row at place r
+    by draws of (seed + k, key); the draws of one k are the same for all columns.
+    """
+    ordered = running(rows.withColumn("_g", F.lit(0)), ["_g"], [key], {}).drop("_g", "n")
+    each = ordered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    drawn = rows.select(key, *columns).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_d", hash_draw((F.lit(seed) + F.col("k")).cast("string"), F.col(key)))
+    values = running(drawn, ["k"], ["_d", key], {}).select("k", "rn", F.struct(*columns).alias("_v"))
+    both = each.join(values, ["k", "rn"]).drop("rn")
+    which = F.explode(F.array(*map(F.lit, columns)))
+    long = both.withColumn("signal", which)
+    return long.withColumns({c: F.when(F.col("signal") == c, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in columns}).drop("_v")

@@ -6,7 +6,7 @@ import pytest
 
 from quillspan.operators import metrics, resample
 
-RISK, CORRECT = [0.1, 0.2, 0.3, 0.4, 0.5], [1.0, 1.0, 0.0, 1.0, 0.0]
+RISK, CORRECT = [0.05, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9], [1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0]
 
 
 def scored(spark, risk, correct, method="m"):
@@ -16,39 +16,42 @@ def scored(spark, risk, correct, method="m"):
 
 def test_curve(spark):
     rows = metrics.risk_coverage(scored(spark, RISK, CORRECT)).orderBy("rn").collect()
-    assert [r["selective_risk"] for r in rows] == pytest.approx([0, 0, 1 / 3, 1 / 4, 2 / 5])
-    assert [r["coverage"] for r in rows] == pytest.approx([0.2, 0.4, 0.6, 0.8, 1])
+    assert [r["selective_risk"] for r in rows] == pytest.approx([0, 1 / 2, 1 / 3, 1 / 4, 2 / 5, 1 / 3, 3 / 7])
+    assert [r["coverage"] for r in rows] == pytest.approx([k / 7 for k in range(1, 8)])
 
 
 def test_aurc(spark):
-    assert metrics.aurc(metrics.risk_coverage(scored(spark, RISK, CORRECT))).first()["aurc"] == pytest.approx((1 / 3 + 1 / 4 + 2 / 5) / 5)
-
-
-def test_selective_accuracy(spark):
-    out = {r["coverage"]: r["accuracy"] for r in metrics.selective_accuracy(metrics.risk_coverage(scored(spark, RISK, CORRECT)), [0.6, 1.0, 0.5]).collect()}
-    assert out[0.6] == pytest.approx(2 / 3) and out[1.0] == pytest.approx(3 / 5)
-    assert out[0.5] == 1.0  # 2.5 rounds to 2
+    curve = metrics.risk_coverage(scored(spark, RISK, CORRECT))
+    assert metrics.aurc(curve).first()["aurc"] == pytest.approx((1 / 2 + 1 / 3 + 1 / 4 + 2 / 5 + 1 / 3 + 3 / 7) / 7)
 
 
-def test_coverage_at_accuracy(spark):
-    out = {r["target"]: r["coverage"] for r in metrics.coverage_at_accuracy(metrics.risk_coverage(scored(spark, RISK, CORRECT)), [0.75, 1.0]).collect()}
-    assert out == {0.75: pytest.approx(0.8), 1.0: pytest.approx(0.4)}
-    none = metrics.coverage_at_accuracy(metrics.risk_coverage(scored(spark, [1, 2], [0, 0])), [0.5]).first()
-    assert none["coverage"] == 0
+def test_accuracies_and_coverages(spark):
+    curve = metrics.risk_coverage(scored(spark, RISK, CORRECT))
+    kept = {r["coverage"]: r["accuracy"] for r in metrics.selective_accuracy(curve, [0.3, 0.5, 1.0]).collect()}
+    assert kept == {0.3: pytest.approx(1 / 2), 0.5: pytest.approx(3 / 4), 1.0: pytest.approx(4 / 7)}  # 3.5 answers round to 4
+    six = metrics.risk_coverage(scored(spark, RISK[:5], CORRECT[:5]))
+    assert metrics.selective_accuracy(six, [0.5]).first()["accuracy"] == pytest.approx(1 / 2)  # 2.5 answers round to 2
+    reached = {r["target"]: r["coverage"] for r in metrics.coverage_at_accuracy(curve, [0.6, 0.75, 1.0]).collect()}
+    assert reached == {0.6: pytest.approx(6 / 7), 0.75: pytest.approx(4 / 7), 1.0: pytest.approx(1 / 7)}
+    never = metrics.coverage_at_accuracy(metrics.risk_coverage(scored(spark, [3, 4, 5], [0, 0, 0])), [0.2]).first()
+    assert never["coverage"] == 0
 
 
-@pytest.mark.parametrize(("risk", "correct", "auc"), [(RISK, CORRECT, 5 / 6), ([-r for r in RISK], CORRECT, 1 / 6), ([0.1, 0.2, 0.3, 0.9, 0.95], [1, 1, 1, 0, 0], 1.0), ([1, 1, 1, 1], [1, 0, 1, 0], 0.5)])
+@pytest.mark.parametrize(("risk", "correct", "auc"), [(RISK, CORRECT, 2 / 3), ([1 - r for r in RISK], CORRECT, 1 / 3), ([2, 7, 1, 8], [1, 0, 1, 0], 1.0), ([3, 3, 3], [0, 1, 0], 0.5)])
 def test_auc(spark, risk, correct, auc):
     assert metrics.error_auc(scored(spark, risk, correct)).first()["error_auc"] == pytest.approx(auc)
 
 
 def test_auc_of_one_class(spark):
-    assert math.isnan(metrics.error_auc(scored(spark, RISK, [1] * 5)).first()["error_auc"])
+    assert math.isnan(metrics.error_auc(scored(spark, RISK, [1] * 7)).first()["error_auc"])
 
 
-@pytest.mark.parametrize(("p", "correct", "ece"), [([0.0] * 50 + [1.0] * 50, [1.0] * 50 + [0.0] * 50, 0.0), ([1.0] * 50 + [0.0] * 50, [1.0] * 50 + [0.0] * 50, 1.0)])
-def test_ece(spark, p, correct, ece):
-    assert metrics.ece(scored(spark, p, correct)).first()["ece"] == pytest.approx(ece)
+def test_ece(spark):
+    """Ten answers at 0.15 of which one is wrong, twenty at 0.85 of which fifteen are."""
+    rows = scored(spark, [0.15] * 10 + [0.85] * 20, [0.0] + [1.0] * 9 + [0.0] * 15 + [1.0] * 5)
+    assert metrics.ece(rows).first()["ece"] == pytest.approx((10 * 0.05 + 20 * 0.10) / 30)
+    bins = {r["bin"]: (r["n"], r["mean_risk"], r["error_rate"]) for r in metrics.reliability_bins(rows).collect()}
+    assert bins == {1: (10, 0.15, 0.1), 8: (20, 0.85, 0.75)}
 
 
 def test_ties_keep_input_order(spark):
@@ -58,9 +61,24 @@ def test_ties_keep_input_order(spark):
 
 def test_threshold(spark):
     curve = metrics.risk_coverage(scored(spark, RISK, CORRECT))
-    assert tuple(metrics.choose_threshold(curve, 0.75).first())[1:] == pytest.approx((0.4, 0.75, 0.8))
-    worse = metrics.risk_coverage(scored(spark, [0.1, 0.2, 0.3], [0, 1, 1]))
-    assert tuple(metrics.choose_threshold(worse, 0.9).first())[1:] == pytest.approx((0.3, 2 / 3, 1.0))
+    assert tuple(metrics.choose_threshold(curve, 0.75).first())[1:] == pytest.approx((0.5, 3 / 4, 4 / 7))
+    worse = metrics.risk_coverage(scored(spark, [0.3, 0.6, 0.7, 0.9], [0, 1, 1, 0]))
+    chosen = metrics.choose_threshold(worse, 0.9)
+    assert tuple(chosen.first())[1:] == pytest.approx((0.7, 2 / 3, 3 / 4))
+    seen = metrics.at_threshold(scored(spark, [0.1, 0.7, 0.8], [1, 0, 1]), chosen, 0.9).first()
+    assert (seen["realised_accuracy"], seen["realised_coverage"], seen["gap"]) == pytest.approx((0.5, 2 / 3, -0.4))
+
+
+def test_gates(spark):
+    one = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    got = metrics.gates(
+        one("error_auc double", (0.47,)), one("part string, error_rate double", ("test", 0.5), ("rel_calib", 0.9)), one("method string, error_auc double", ("B4", 0.6), ("P1", 0.72)),
+        one("pair string, mean double, high double", ("P1-B5", -0.1, -0.05), ("P1-B4", -0.1, 0.02)), one("ece_after double, gap double", (0.05, 0.2)), one("stage string, median_ms double", ("reliability_layer", 3.0)),
+    )
+    assert {r["gate"]: r["passed"] for r in got.collect()} == {"G0": True, "G1": True, "G2": True, "G3": True, "G4": False, "G5": False, "G6": True}
+    metrics.require_control(one("error_auc double, passed boolean", (0.5, True)))
+    with pytest.raises(RuntimeError):
+        metrics.require_control(one("error_auc double, passed boolean", (0.7, False)))
 
 
 def test_large_groups_are_ranked_in_ranges(spark):

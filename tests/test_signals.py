@@ -58,7 +58,7 @@ def test_risk_model(spark, tmp_path):
     assert out.where("risk < 0 OR risk > 1").count() == 0
     assert out.groupBy("error").agg(F.avg("risk").alias("r")).orderBy("error").collect()[1]["r"] > 0.9
     model.save(str(tmp_path / "m"))
-    again = learned.load_risk_model(str(tmp_path / "m"), ["x", "y"]).risk(rows)
+    again = learned.load_risk_model(str(tmp_path / "m")).risk(rows)
     assert again.agg(F.sum("risk")).first()[0] == pytest.approx(out.agg(F.sum("risk")).first()[0])
 
 

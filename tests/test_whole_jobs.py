@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspan.operators import ask, learned, resample
+from quillspan.operators import ask, boosting, learned, resample
 from quillspan.plans import corpus_queries as C
 from quillspan.plans import evaluation_queries as E
 
@@ -55,27 +55,19 @@ def test_bootstraps_have_1000_replicates(spark, monkeypatch):
 
 
 def test_risk_models_have_all_rounds_and_shuffles(spark, monkeypatch):
-    rounds, dealt = [], []
-
-    class RiskModel(learned.RiskModel):
-        def fit(self, rows, label="error"):
-            rounds.append(self.iterations)
-            return self
-
-        def calibrate(self, rows, label="error"):
-            return self
-
-        def risk(self, rows, calibrated=True):
-            return rows.withColumn("risk", rows["r_sim_top1"])
-
-    monkeypatch.setattr(learned, "RiskModel", RiskModel)
-    monkeypatch.setattr(resample, "shuffled", lambda rows, column, order, seed: dealt.append((column, seed)) or rows)
-    for q in (E.model_comparison, E.negative_control, E.family_ablation, E.domain_shift, E.threshold_sensitivity):
-        q(spark, "/root/testdata/sf0.001")
-    dealt.clear()
-    E.permutation_importance(spark, "/root/testdata/sf0.001")
-    assert set(rounds) == {200}
-    assert len(set(dealt)) == 160
+    rounds, dealt, reps = [], [], []
+    fit, shuffle, replicate = boosting.fit_models, resample.shuffled_columns, resample.replicate_metric
+    monkeypatch.setattr(boosting, "fit_models", lambda rows, specs, **k: rounds.append(k["rounds"]) or fit(rows, specs, **{**k, "rounds": 2}))
+    monkeypatch.setattr(resample, "shuffled_columns", lambda rows, columns, key, times, seed: dealt.append((len(columns), times)) or shuffle(rows, columns, key, times, seed))
+    monkeypatch.setattr(resample, "replicate_metric", lambda scored, metric, n, seed: reps.append(n) or replicate(scored, metric, 5, seed))
+    small = "/root/testdata/sf0.001"
+    assert E.model_comparison(spark, small).count() == 6 and E.family_ablation(spark, small).count() == 7
+    assert E.domain_shift(spark, small).count() == 6 and E.negative_control(spark, small).count() == 1
+    assert set(reps) == {1000}
+    assert E.threshold_sensitivity(spark, small).count() == 3 and reps[-1] == 500
+    ranked = [r["importance"] for r in E.permutation_importance(spark, small).collect()]
+    assert len(ranked) == 16 and ranked == sorted(ranked, reverse=True)
+    assert set(rounds) == {200} and dealt == [(16, 10)]
 
 
 def test_questions_without_a_hit_count_as_not_found(spark, folder):
