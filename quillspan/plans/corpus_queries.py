@@ -43,12 +43,6 @@ qw AS (SELECT qid, term, (1 + ln(tf)) * idf AS w FROM ql JOIN lt USING (term)),
 qv AS (SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM qw),
 den AS (SELECT q.qid, lv.pid, round(sum(qv.w * lv.w), 6) AS score FROM qv JOIN q USING (qid) JOIN lv USING (term) JOIN c USING (pid)
   WHERE q.article IS NULL OR c.article IS NULL OR q.article <> c.article OR lv.pid IS NOT DISTINCT FROM q.gold_pid GROUP BY 1, 2)"""
-HYBRID = f"""both_ AS (SELECT qid, pid, coalesce(den.score, 0) AS d, coalesce(lex.score, 0) AS l FROM den FULL JOIN lex USING (qid, pid)),
-sz AS (SELECT q.qid, (SELECT count(*) FROM c) - coalesce(o.n, 0) + CASE WHEN g.article = q.article THEN 1 ELSE 0 END AS valid FROM q
-  LEFT JOIN (SELECT article, count(*) AS n FROM c WHERE article IS NOT NULL GROUP BY 1) o ON o.article = q.article LEFT JOIN c g ON g.pid = q.gold_pid),
-lim AS (SELECT b.*, CASE WHEN count(*) OVER w < valid THEN least(0, min(d) OVER w) ELSE min(d) OVER w END AS dl, max(d) OVER w AS dh,
-  CASE WHEN count(*) OVER w < valid THEN least(0, min(l) OVER w) ELSE min(l) OVER w END AS ll, max(l) OVER w AS lh FROM both_ b JOIN sz USING (qid) WINDOW w AS (PARTITION BY qid)),
-fus AS (SELECT qid, pid, d AS dense, round((l - ll) / (lh - ll + 1e-9), 6) AS bm25, round(0.5 * ((d - dl) / (dh - dl + 1e-9)) + 0.5 * ((l - ll) / (lh - ll + 1e-9)), 6) AS hybrid FROM lim)"""
 TOKENS = f"""{CORPUS}, t0 AS (SELECT pid, text, regexp_extract_all(text, '{TOKEN}') AS a, regexp_split_to_array(text, '{TOKEN}') AS g FROM c),
 t1 AS (SELECT pid, unnest(a) AS token, unnest(g[1:len(a)]) AS gap, unnest(range(len(a))) AS pos, len(a) AS n FROM t0),
 tok AS (SELECT pid, CAST(sum(length(token) + length(gap)) OVER (PARTITION BY pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(token) AS INT) AS c0,
@@ -110,6 +104,13 @@ def retrieve_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.hybrid(_corpus(spark, folder), _askable(spark, folder), 20)
 
 
+def fused_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture for the scores of the table retrieved: its dense and lexical score, each scaled over a question's passages, ranked anew."""
+    best = lambda c: F.max(T.finite_or_zero(F.col(c))).alias(c)
+    rows = table(spark, folder, "retrieved").where("qid IS NOT NULL AND pid IS NOT NULL").groupBy("qid", "pid").agg(best("dense"), best("bm25"))
+    return retrieval.fuse(rows, 20)
+
+
 def retrieve_latent(spark: SparkSession, folder: str) -> DataFrame:
     """The five best passages by cosine in the latent space."""
     held, asked, _ = retrieval.latent_vectors(_corpus(spark, folder), _askable(spark, folder))
@@ -213,7 +214,10 @@ SQL = {
     "retrieve_bm25": f"WITH {BM25} SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank, pid, score FROM lex) WHERE rank <= 5",
     "retrieve_unmasked": f"WITH {BM25.split('WHERE q.article IS NULL OR bp')[0]} GROUP BY 1, 2) SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank, pid, score FROM lex) WHERE rank <= 5",
     "retrieve_tfidf": f"WITH {CORPUS}, {ASKABLE}, {COSINE} SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank, pid, score FROM den) WHERE rank <= 5",
-    "retrieve_hybrid": f"WITH {BM25}, {COSINE}, {HYBRID} SELECT qid, rank, pid, dense, bm25, hybrid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid DESC, pid) AS rank FROM fus) WHERE rank <= 20",
+    "fused_scores": """WITH b AS (SELECT qid, pid, max(CASE WHEN isfinite(dense) THEN dense ELSE 0 END) AS d, max(CASE WHEN isfinite(bm25) THEN bm25 ELSE 0 END) AS l FROM retrieved WHERE qid IS NOT NULL AND pid IS NOT NULL GROUP BY 1, 2),
+      m AS (SELECT qid, pid, d AS dense, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w + 1e-9) AS x, (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-9) AS y FROM b WINDOW w AS (PARTITION BY qid)),
+      f AS (SELECT qid, pid, dense, round(y, 6) AS bm25, round(0.5 * x + 0.5 * y, 6) AS hybrid FROM m)
+      SELECT qid, rank, pid, dense, bm25, hybrid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid DESC, pid) AS rank FROM f) WHERE rank <= 20""",
     "gold_in_top": f"""WITH {BM25}, top AS (SELECT qid, list(pid) AS pids FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM lex) WHERE rank <= 5 GROUP BY 1)
       SELECT part, count(*) AS n, round(avg(CASE WHEN coalesce(list_contains(pids, gold_pid), false) THEN 1 ELSE 0 END), 6) AS gold_in_k FROM q LEFT JOIN top USING (qid) JOIN article_split USING (article) GROUP BY 1""",
     "question_types": f"WITH {ASKABLE} SELECT DISTINCT qid, {QTYPE('question')} AS qtype, array_to_string(list_sort({CONTENT('question')}), ' ') AS content FROM q",
@@ -260,6 +264,6 @@ SQL["training_spans"] = f"""WITH {TOKENS}, f AS ({SQL["span_features"]}), tx AS
   r AS (SELECT * FROM k WHERE label = 1 OR k <= 400 * greatest(pos, 1)), t AS (SELECT sum(label) AS p, count(*) AS n FROM r)
   SELECT qid, pid, start, len, label, round(CASE WHEN label = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END, 6) AS weight FROM r, t"""
 QUERIES = [
-    corpus_stats, term_idf, bm25_terms, tfidf_vectors, retrieve_bm25, retrieve_unmasked, retrieve_tfidf, retrieve_hybrid, retrieve_latent, gold_in_top, question_types,
+    corpus_stats, term_idf, bm25_terms, tfidf_vectors, retrieve_bm25, retrieve_unmasked, retrieve_tfidf, retrieve_hybrid, fused_scores, retrieve_latent, gold_in_top, question_types,
     span_tokens, span_candidates, sentence_overlap, span_features, gold_spans, training_spans, retrieval_signals, evidence, mask_faults,
 ]
