@@ -168,12 +168,15 @@ def exact(values: DataFrame, keys: list[str], value: str, certified: DataFrame)
     so repeated values don't gather.
     """
     target = F.col("q") * (F.col("n") - 1)
-    want = certified.select(*keys, "q", "estimate", "below", F.floor(target).alias("lo"), F.ceil(target).alias("hi"), target.alias("target"))
+    asked = certified.select(*keys, "q", "estimate", "below", "floor", "ceiling", F.floor(target).alias("lo"), F.ceil(target).alias("hi"), target.alias("target"))
+    # an estimate between the two ranks wanted has their values next to it
+    between = (F.col("lo") < F.col("below")) & (F.col("hi") >= F.col("below"))
+    known = asked.where(between).select(*keys, "q", (F.col("floor") + (F.col("ceiling") - F.col("floor")) * (F.col("target") - F.col("lo"))).alias("exact"))
+    want = asked.where(~between)
     on = [F.col(f"v.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    up = F.col("e.lo") >= F.col("e.below")  # both ranks lie at or above the estimate
-    down = F.col("e.hi") < F.col("e.below")
+    up = F.col("e.lo") >= F.col("e.below")  # both ranks lie at or above the estimate, else both below
     x = F.col("v._x")
-    near = F.when(up, x >= F.col("e.estimate")).when(down, x < F.col("e.estimate")).otherwise(F.lit(True))
+    near = F.when(up, x >= F.col("e.estimate")).otherwise(x < F.col("e.estimate"))
     counted = values.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     rows = counted.alias("v").join(want.alias("e"), on).where(near).select(*[F.col(f"v.{k}") for k in keys], "e.q", "e.lo", "e.hi", "e.target", F.when(up, F.col("e.below")).otherwise(F.lit(0)).alias("_base"), "v._x", "v._n")
     from pyspark.sql import Window
@@ -182,7 +185,7 @@ def exact(values: DataFrame, keys: list[str], value: str, certified: DataFrame)
     ranked = rows.withColumn("_to", F.col("_base") + F.sum("_n").over(w) - 1).withColumn("_from", F.col("_to") - F.col("_n") + 1)
     at = lambda r: F.max(F.when((F.col("_from") <= F.col(r)) & (F.col("_to") >= F.col(r)), F.col("_x")))
     both = ranked.groupBy(*keys, "q", "lo", "target").agg(at("lo").alias("_lo"), at("hi").alias("_hi"))
-    return both.select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("target") - F.col("lo"))).alias("exact"))
+    return both.select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("target") - F.col("lo"))).alias("exact")).unionByName(known)
 
 
 def stage_times(predictions: DataFrame, key: str) -> DataFrame:
@@ -225,3 +228,25 @@ def heavy_tails(predictions: DataFrame, key: str, factor: float = 4.0) -> DataFr
     asked = certified.alias("c").join(open_.alias("o"), match("c"), "left_semi")
     known = exact(left, keys, "seconds", asked).groupBy(*keys).agg(F.max(F.when(F.col("q") == 0.5, F.col("exact"))).alias("m"), F.max(F.when(F.col("q") == 0.95, F.col("exact"))).alias("p"))
     return judged.where("heavy").select(*keys).unionByName(known.where(F.col("p") >= factor * F.col("m")).select(*keys))
+
+
+def quantiles(predictions: DataFrame, key: str, asked: list[float]) -> DataFrame:
+    """``key, stage, q, n, exact``: the quantiles themselves, found from certified estimates."""
+    times = materialize(stage_times(predictions, key), "stage-times")
+    keys = ["key", "stage"]
+    made = materialize(digests(times, keys, "seconds"), "digests")
+    certified = materialize(certify(times, keys, "seconds", estimates(made, keys, asked)), "certified")
+    match = [F.col(f"c.{k}").eqNullSafe(F.col(f"x.{k}")) for k in [*keys, "q"]]
+    return certified.alias("c").join(exact(times, keys, "seconds", certified).alias("x"), match).select("c.key", "c.stage", "c.q", "c.n", "x.exact")
+
+
+def combined(predictions: DataFrame, key: str, asked: list[float]) -> DataFrame:
+    """``stage, q, n, estimate, rank_error`` over all keys, from digests that were made and written for each key by itself.
+
+    This is how results of separate runs or days are brought together: only their
+    digests are merged; the second pass over the values certifies the outcome.
+    """
+    times = materialize(stage_times(predictions, key).where("key IS NOT NULL"), "stage-times")
+    of_runs = materialize(digests(times, ["key", "stage"], "seconds"), "digests")
+    merged = materialize(merge_digests(of_runs.drop("key"), ["stage"]), "digests-merged")
+    return certify(times, ["stage"], "seconds", estimates(merged, ["stage"], asked)).select("stage", "q", "n", "estimate", "rank_error")

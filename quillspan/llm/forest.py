@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.setjoin import spread
 from quillspan.session import materialize
 
 
@@ -32,24 +33,24 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         forest = chosen if forest is None else forest.unionByName(chosen)
         # picked edges lead to a pair of components that picked each other; the lesser of the two is the root
         back = picked.select(F.col("x").alias("to"), F.col("to").alias("back"))
-        parent = picked.join(back, "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("p"))
+        parent = picked.join(spread(back), "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("p"))
         parent = materialize(parent, "forest-parents")
         while True:
             up = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            jumped = materialize(parent.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "forest-parents")
+            jumped = materialize(parent.join(spread(up), "p").select("x", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "forest-parents")
             parent = jumped.select("x", "p")
             if jumped.where("moved").isEmpty():
                 break
-        labels = materialize(labels.join(parent.select(F.col("x").alias("root"), F.col("p").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")), "forest-labels")
+        labels = materialize(labels.join(spread(parent.select(F.col("x").alias("root"), F.col("p").alias("to"))), "root", "left").select("v", F.coalesce("to", "root").alias("root")), "forest-labels")
         px, py = parent.select("x", F.col("p").alias("px")), parent.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        moved = live.join(px, "x").join(py, "y").where("px <> py")
+        moved = live.join(spread(px), "x").join(spread(py), "y").where("px <> py")
         live = materialize(moved.groupBy(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).agg(F.min(F.struct("a", "b")).alias("e")).select("x", "y", "e.a", "e.b"), "forest-edges")
     least = labels.groupBy("root").agg(F.min("v").alias("least"))
-    named = labels.join(least, "root").select("v", F.col("least").alias("root"))
+    named = labels.join(spread(least), "root").select("v", F.col("least").alias("root"))
     return named, clean.limit(0) if forest is None else forest
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``v, root`` for each different vertex, those without edges included; ``root`` is the least vertex of the component."""
     labels, _ = spanning_forest(edges)
-    return vertices.select("v").where("v IS NOT NULL").distinct().join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+    return vertices.select("v").where("v IS NOT NULL").distinct().join(spread(labels), "v", "left").select("v", F.coalesce("root", "v").alias("root"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm.forest import spanning_forest
+from quillspan.llm.setjoin import spread
 from quillspan.session import materialize
 
 #: Marks of one shape, as they count in a title (fixed values).
@@ -63,10 +64,10 @@ def article_edges(articles: DataFrame, passages: DataFrame, questions: DataFrame
     """
     keyed = articles.where("article IS NOT NULL").select("article").distinct().withColumn("k", title_keys("article")).where("k <> ''")
     least = keyed.groupBy("k").agg(F.min("article").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    written = keyed.join(least, "k").where("article <> a").select("a", F.col("article").alias("b"))
+    written = keyed.join(spread(least), "k").where("article <> a").select("a", F.col("article").alias("b"))
     asked = questions.where("article IS NOT NULL AND gold_pid IS NOT NULL").select(F.col("article").alias("a"), F.col("gold_pid").alias("pid")).distinct()
     stands = passages.where("article IS NOT NULL AND pid IS NOT NULL").select("pid", F.col("article").alias("b")).distinct()
-    linked = asked.join(stands, "pid").where("a <> b").select("a", "b").distinct()
+    linked = asked.join(spread(stands), "pid").where("a <> b").select("a", "b").distinct()
     return written.unionByName(linked)
 
 
@@ -74,14 +75,21 @@ def article_roots(articles: DataFrame, passages: DataFrame, questions: DataFrame
     """``(article, root)`` of every article in any of the tables, and the spanning forest ``a, b``."""
     every = articles.select("article").unionAll(passages.select("article")).unionAll(questions.select("article")).where("article IS NOT NULL").distinct()
     labels, forest = spanning_forest(article_edges(every, passages, questions))
-    roots = every.join(labels.withColumnRenamed("v", "article"), "article", "left").select("article", F.coalesce("root", "article").alias("root"))
+    roots = every.join(spread(labels.withColumnRenamed("v", "article")), "article", "left").select("article", F.coalesce("root", "article").alias("root"))
     return materialize(roots, "article-roots"), forest
 
 
 def same_article(articles: DataFrame, roots: DataFrame) -> DataFrame:
-    """``article_a, article_b``: pairs of different strings of ``articles`` with one root."""
-    own = articles.select("article").distinct().join(roots, "article")
-    return own.select("root", F.col("article").alias("article_a")).join(own.select("root", F.col("article").alias("article_b")), "root").where("article_a < article_b").select("article_a", "article_b")
+    """``article_a, article_b``: pairs of different strings of ``articles`` with one root.
+
+    The pairs are the result, so their number is what it is; what is shuffled are
+    the strings. Those of one root are sorted, and each meets the ones after it.
+    """
+    own = articles.select("article").distinct().join(spread(roots), "article")
+    many = own.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("root")
+    own = own.join(spread(many), "root", "left_semi")
+    a, b = (own.select("root", F.col("article").alias(f"article_{x}")) for x in "ab")
+    return spread(a).join(b, "root").where("article_a < article_b").select("article_a", "article_b")
 
 
 def deal(units: DataFrame, shares: list[tuple[str, float]], rows_a_part: int = 1_000_000) -> DataFrame:

@@ -25,6 +25,11 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(p1_pairs(spark, folder))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record with a part: its class, copies and links across; copies aren't expanded into pairs."""
+    return overlap.memberships(_records(spark, folder))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = p1_pairs(spark, folder).where("key_t <> key_e")
     return pairs.select("kind", F.least("key_t", "key_e").alias("key_a"), F.greatest("key_t", "key_e").alias("key_b")).distinct()
@@ -41,7 +46,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of every term of every record."""
-    return distinctive.term_scores(table(spark, folder, "passages"), table(spark, folder, "questions"))
+    return distinctive.term_scores(table(spark, folder, "passages"), table(spark, folder, "questions")).withColumn("score", F.round("score", 9))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +82,18 @@ def p5_article_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digest.percentiles(table(spark, folder, "predictions_a"), "article", [0.5, 0.9, 0.95, 0.99])
 
 
+def p5_run_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The quantiles themselves by run: what the certified estimates lead to."""
+    out = digest.quantiles(table(spark, folder, "predictions_a"), "run_id", [0.5, 0.9, 0.95, 0.99])
+    return out.select(F.col("key").alias("run_id"), "stage", "q", "n", F.round("exact", 9).alias("exact"))
+
+
+def p5_combined(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles over all runs from the runs' own digests, and whether their ranks are certified to one in a hundred."""
+    out = digest.combined(table(spark, folder, "predictions_a"), "run_id", [0.5, 0.9, 0.95, 0.99])
+    return out.select("stage", "q", "n", (F.col("rank_error") <= 0.01).alias("within"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return digest.heavy_tails(table(spark, folder, "predictions_a"), "run_id").select(F.col("key").alias("run_id"), "stage")
 

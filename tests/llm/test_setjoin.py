@@ -95,6 +95,27 @@ def test_overlap(spark, part):
     assert sum(r["pairs"] for r in report) == pairs.count()
 
 
+def test_memberships_and_plans(spark):
+    """A row a record with its links; and nothing of the joins is broadcast, however small the tables are."""
+    arts = {"t": "reader_train", "e": "test"}
+    some = texts(80, 9)
+    passages = [(i, "te"[i % 2], t) for i, t in enumerate(some)]
+    p = spark.createDataFrame(passages, "pid long, article string, text string")
+    q = spark.createDataFrame([], "qid string, article string, question string")
+    rows = overlap.records(p, q, spark.createDataFrame(list(arts.items()), "article string, part string"))
+    got = {int(r["key"]): r for r in overlap.memberships(rows, bits=10).collect()}
+    sets = {i: grams(t) for i, _, t in passages if grams(t)}
+    assert set(got) == set(sets)
+    for i, r in got.items():
+        assert r["copies"] == sum(s == sets[i] for s in sets.values())
+        assert r["links"] == len({frozenset(s) for k, s in sets.items() if k % 2 != i % 2 and similar(s, sets[i])})
+    pairs = overlap.cross_pairs(rows, bits=10)
+    found = neardup.NearDuplicates(p, "pid", "text", bits=10)
+    for frame in (pairs, found.pairs(), found.links, found.groups()):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_overlap_of_empty_tables(spark):
     p = spark.createDataFrame([], "pid long, article string, text string")
     q = spark.createDataFrame([], "qid string, article string, question string")
