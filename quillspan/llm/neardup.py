@@ -84,7 +84,7 @@ def postings(pieces: DataFrame, order: Broadcast) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)
             sketches = setjoin.sketches_of(row, grams, len(size))
             pos = np.arange(len(grams)) - (np.cumsum(size) - size)[row]
-            keep = pos < ends[np.arange(len(size)), long][row]
+            keep = (pos < ends[np.arange(len(size)), long][row]) & (known.level(grams) > 0)  # a run that one class alone has meets nothing
             row, gram, pos = row[keep], grams[keep], pos[keep]
             fragment = (ends[row] <= pos[:, None]).sum(axis=1)
             head = np.where(fragment > 0, ends[row, np.maximum(fragment - 1, 0)], 0)
