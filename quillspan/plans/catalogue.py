@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import corpus_queries, evaluation_queries, stream_queries
+from quillspan.plans import corpus_queries, evaluation_queries, source_queries, stream_queries
 
-_MODULES = [corpus_queries, evaluation_queries, stream_queries]
+_MODULES = [corpus_queries, evaluation_queries, source_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

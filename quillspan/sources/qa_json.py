@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,29 @@ def build_corpus(spark: SparkSession, path: str, *, n_articles: int | None = Non
     return passages, questions.select("qid", "article", "gold_pid", "question", "answers", "is_impossible")
 
 
+def write_articles(passages: DataFrame, questions: DataFrame, path: str, articles_a_file: int = 1000) -> None:
+    """Write passages and the questions about them as nested JSON, an object with ``data`` a file.
+
+    Different rows with an article and a text; paragraphs in the order of their
+    index and number. Questions go with their gold passage; those without are left
+    out. An article is one value of the format, whatever its size.
+    """
+    p = passages.select("pid", "article", "para_idx", "text").where("pid IS NOT NULL AND article IS NOT NULL AND text IS NOT NULL").distinct()
+    q = questions.where("qid IS NOT NULL AND gold_pid IS NOT NULL").select("gold_pid", F.col("qid").alias("id"), "question", F.transform("answers", lambda a: F.struct(a.alias("text"))).alias("answers"), "is_impossible").distinct()
+    asked = q.groupBy(F.col("gold_pid").alias("pid")).agg(F.sort_array(F.collect_list(F.struct("id", "question", "answers", "is_impossible"))).alias("qas"))
+    paragraphs = p.join(asked.hint("merge"), "pid", "left").groupBy("article").agg(F.sort_array(F.collect_list(F.struct("para_idx", "pid", "text", "qas"))).alias("ps"))
+    rows = paragraphs.select(F.col("article").alias("title"), F.transform("ps", lambda x: F.struct(x["text"].alias("context"), F.coalesce(x["qas"], F.array().cast("array<struct<id: string, question: string, answers: array<struct<text: string>>, is_impossible: boolean>>")).alias("qas"))).alias("paragraphs"))
+    files = max(1, -(-rows.count() // articles_a_file))
+    objects = rows.groupBy(F.pmod(F.xxhash64("title"), F.lit(files)).alias("file")).agg(F.collect_list(F.struct("title", "paragraphs")).alias("data"))
+    objects.select("file", F.to_json(F.struct("data")).alias("value")).write.partitionBy("file").mode("overwrite").text(path)
+
+
+def read_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One row: the object that a JSON file of results holds."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def save_corpus(passages: DataFrame, questions: DataFrame, folder: str) -> None:
     passages.write.mode("overwrite").parquet(f"{folder}/passages.parquet")
     questions.write.mode("overwrite").parquet(f"{folder}/questions.parquet")
@@ -102,23 +126,28 @@ def parse_config(text: str) -> dict:
 
     Scalars become booleans, null, integers, floats or strings, in this order.
     """
-    root: dict = {}
-    open_maps = [(-1, root)]
-    for line in text.splitlines():
-        bare = _without_comment(line)
-        if not bare.strip():
-            continue
-        depth = len(bare) - len(bare.lstrip())
-        key, _, value = bare.strip().partition(":")
-        while open_maps[-1][0] >= depth:
-            open_maps.pop()
-        if value.strip():
-            open_maps[-1][1][key.strip()] = _value(value.strip())
-        else:
-            child: dict = {}
-            open_maps[-1][1][key.strip()] = child
-            open_maps.append((depth, child))
-    return root
+    entries = []
+    for line in map(_without_comment, text.splitlines()):
+        found = _ENTRY.fullmatch(line)
+        if found:
+            entries.append((len(found["indent"]), found["key"].strip(), (found["value"] or "").strip()))
+    return _mapping(entries, 0, len(entries))
+
+
+_ENTRY = re.compile(r"(?P<indent>\s*)(?P<key>[^\s:][^:]*)(?::(?P<value>.*))?")
+
+
+def _mapping(entries: list[tuple[int, str, str]], start: int, end: int) -> dict:
+    """The map of entries start to end - 1: an entry without a value holds the deeper ones that follow it."""
+    out = {}
+    while start < end:
+        depth, key, value = entries[start]
+        below = start + 1
+        while below < end and entries[below][0] > depth:
+            below += 1
+        out[key] = _value(value) if value else _mapping(entries, start + 1, below)
+        start = below if not value else start + 1
+    return out
 
 
 def _without_comment(line: str) -> str:

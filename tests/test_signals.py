@@ -96,6 +96,15 @@ def test_end_to_end(spark, tmp_path):
     ask.append_log(ask.ask(user, p, reader, risk, 0.5), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == len(got)
     assert ask.unfinished(q, answered).count() == 0
+    assert len(body["u"]["evidence"]) == 5 and body["u"]["evidence"][0]["text"] and set(body["u"]["timing_ms"]) == {"retrieval", "reader", "features"}
+    reader.save(str(tmp_path / "reader"))
+    from quillspan.operators.service import Service
+
+    service = Service(spark, p, learned.load_reader(str(tmp_path / "reader")), risk, 2.0)
+    assert service.handle("GET", "/health") == (200, {"status": "ok", "passages": 36}) and service.handle("GET", "/evaluate")[0] == 404
+    assert service.handle("POST", "/ask", {"question": " "})[0] == 422 and service.handle("GET", "/x")[0] == 404
+    status, out = service.handle("POST", "/ask", {"question": "Who painted the tower?"})
+    assert status == 200 and out["answer"] == got["u"]["answer"] and out["risk"] == pytest.approx(got["u"]["risk"])
 
 
 def test_descriptions(spark):
