@@ -193,7 +193,8 @@ def paired_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
     """Intervals of the error AUC over resampled articles, 1,000 replicates."""
-    return resample.bootstrap_interval(_scored(spark, folder).where("article IS NOT NULL"), "auc", REPS, SEED)
+    out = resample.bootstrap_interval(_scored(spark, folder).where("article IS NOT NULL"), "auc", REPS, SEED)
+    return out.select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
 
 
 def sampled_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -462,6 +463,9 @@ SQL = {
     "gated_answers": f"""WITH {PREDS}, g AS (SELECT *, {FIN('d_null_score')} AS r FROM lab) SELECT run_id, qid, CASE WHEN NOT r > 0.5 THEN pred END AS answer, round(r, 6) AS risk, r > 0.5 AS abstained, CASE WHEN r > 0.5 THEN concat_ws('; ',
       CASE WHEN {FIN('r_sim_top1')} < 0.5 THEN '{ask.REASONS['top1']}' END, CASE WHEN {FIN('a_answer_in_top2')} = 0 THEN '{ask.REASONS['second']}' END, CASE WHEN {FIN('a_majority_frac')} < 0.5 THEN '{ask.REASONS['majority']}' END, CASE WHEN {FIN('d_span_prob')} < 0.1 THEN '{ask.REASONS['span']}' END) ELSE '' END AS reason FROM g""",
     "bootstrap_aurc": f"WITH {SCORED}, {BOOT} SELECT method, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS reps FROM rv GROUP BY 1",
+    "bootstrap_auc": f"""WITH {SCORED}, {BOOT}, mr AS (SELECT rep, method, correct, rank() OVER (PARTITION BY rep, method ORDER BY risk) + (count(*) OVER (PARTITION BY rep, method, risk) - 1) / 2 AS mid FROM rs),
+      av AS (SELECT rep, method, (sum(CASE WHEN correct = 0 THEN mid END) - sum(1 - correct) * (sum(1 - correct) + 1) / 2) / (sum(1 - correct) * sum(correct)) AS value FROM mr GROUP BY 1, 2 HAVING sum(1 - correct) > 0 AND sum(correct) > 0)
+      SELECT method, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS reps FROM av GROUP BY 1""",
     "paired_difference": f"""WITH {SCORED}, {BOOT}, d AS (SELECT a.value - b.value AS d FROM rv a JOIN rv b USING (rep) WHERE a.method = 'B4' AND b.method = 'B2')
       SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, quantile_cont(d, 0.975) < 0 OR quantile_cont(d, 0.025) > 0 AS excludes_zero FROM d""",
     "sampled_articles": f"SELECT article FROM (SELECT DISTINCT article FROM article_split WHERE article IS NOT NULL) ORDER BY {DRAW(f"'{SEED}'", 'article')}, article LIMIT 20",
