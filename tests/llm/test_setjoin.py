@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspan.llm import chars, neardup, overlap, setjoin
+from quillspan.session import materialize
 
 from .helpers import grams, plain, similar
 
@@ -121,3 +123,32 @@ def test_overlap_of_empty_tables(spark):
     q = spark.createDataFrame([], "qid string, article string, question string")
     s = spark.createDataFrame([], "article string, part string")
     assert overlap.cross_pairs(overlap.records(p, q, s), bits=10).count() == 0
+
+
+def test_overlap_meets_a_bounded_number(spark):
+    """What a posting meets doesn't grow with the corpus over a fixed vocabulary, and every pair is found."""
+    pick = random.Random(11)
+    words = ["harbour", "temple", "river", "zafo", "kirel", "mode", "painted", "reservoir", "census", "lichen", "archivist", "monastery"]
+    some = [" ".join(pick.choices(words, k=9)) for _ in range(1600)]
+    some[-40:] = [t + " x1" for t in some[:80:2]]
+
+    def classes_of(n):
+        p = spark.createDataFrame([(i, "te"[i % 2], t) for i, t in enumerate(some[:n])], "pid long, article string, text string")
+        rows = overlap.records(p, spark.createDataFrame([], "qid string, article string, question string"), spark.createDataFrame([("t", "reader_train"), ("e", "test")], "article string, part string"))
+        sets = setjoin.text_sets(rows.withColumn("train", F.col("part").isin(*overlap.TRAINING)), ["kind", "key", "train"], "text", space="kind")
+        return rows, materialize(setjoin.classes_of(sets, F.max("train").alias("has_t"), F.max(~F.col("train")).alias("has_e")), "test-classes")
+
+    def met_by_a_posting(classes, most):
+        known = overlap.crowded_keys(classes, classes.agg({"n": "sum"}).first()[0], 16, most)
+        data = np.concatenate([np.frombuffer(r["data"], dtype=overlap.POSTING) for r in overlap.postings(classes, known, 1).collect()])
+        trains = data["meta"] >> 23 & 1 > 0
+        keys, at = np.unique(data["key"], return_inverse=True)
+        return (np.bincount(at[trains], minlength=len(keys)) * np.bincount(at[~trains], minlength=len(keys))).sum() / len(data)
+
+    (_, few), (rows, many) = classes_of(400), classes_of(1600)
+    assert met_by_a_posting(many, 1 << 30) > 2.5 * met_by_a_posting(few, 1 << 30)  # keys of one run, as they were before
+    bounded = met_by_a_posting(many, 8)
+    assert bounded < 8 and bounded < 2 * met_by_a_posting(few, 8)
+    got = {(int(r["key_t"]), int(r["key_e"])) for r in overlap.cross_pairs(rows, bits=16, part=8).collect()}
+    sets = [grams(t) for t in some]
+    assert got == {(a, b) for a in range(0, 1600, 2) for b in range(1, 1600, 2) if similar(sets[a], sets[b])} and len(got) > 20
