@@ -6,28 +6,35 @@ on partitions or engines.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import hash_draw
 from quillspan.operators.skew import running
+from quillspan.session import materialize
 
 PARTS = ("reader_train", "rel_train", "rel_calib", "test")
 
 
 def draws(groups: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
     """``rep, slot, group``: for each replicate as many groups as there are, drawn with replacement."""
-    numbered = groups.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_k", F.row_number().over(Window.orderBy(group)) - 1)  # groups are articles: few beside the rows
+    numbered = materialize(_numbered(groups, group), "draws-groups")
     n = numbered.count()
-    spark = groups.sparkSession
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    slots = numbered.select(F.col("_k").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     picked = slots.withColumn("_k", hash_draw(F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")) % max(n, 1))
-    return picked.join(numbered, "_k").select("rep", "slot", group)
+    return picked.join(numbered.hint("merge"), "_k").select("rep", "slot", group)
+
+
+def _numbered(groups: DataFrame, group: str) -> DataFrame:
+    """``group, _k``: different groups that aren't null, numbered from 0 in their order."""
+    names = groups.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_g", F.lit(0))
+    return running(names, ["_g"], [group], {}).select(group, (F.col("rn") - 1).cast("bigint").alias("_k"))
 
 
 def resample(scored: DataFrame, reps: int, seed: int) -> DataFrame:
@@ -36,68 +43,149 @@ def resample(scored: DataFrame, reps: int, seed: int) -> DataFrame:
     return picked.join(scored, "article").select("rep", "method", "article", "risk", "correct", F.struct("slot", "ord").alias("ord"))
 
 
-#: Scored rows up to which the replicates are computed from a copy in each worker (about 40 bytes a row).
-SMALL = 1_000_000
-
-
-def _replicates_of_small(scored: DataFrame, metric: str, reps: int, seed: int) -> DataFrame:
-    """:func:`replicate_metric` for a table that a worker can hold: the same draws, one replicate after another in arrays."""
-    rows = scored.where("article IS NOT NULL").orderBy("method", "ord").select("method", "article", "risk", "correct").toPandas()
-    names, article = np.unique(rows["article"].to_numpy(dtype=object), return_inverse=True) if len(rows) else ([], np.zeros(0, int))
-    held = {}
-    for m, at in rows.groupby("method", sort=True).indices.items():
-        at = np.sort(at)
-        by_article = at[np.argsort(article[at], kind="stable")]
-        held[m] = (rows["risk"].to_numpy()[by_article], 1 - rows["correct"].to_numpy()[by_article], np.searchsorted(article[by_article], np.arange(len(names) + 1)))
-    sent, n = scored.sparkSession.sparkContext.broadcast(held), len(names)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for rep in frame["id"].tolist():
-                picks = np.array([int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)], dtype=np.int64)
-                for m, (risk, wrong, starts) in sent.value.items():
-                    sizes = starts[picks + 1] - starts[picks]
-                    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[picks], sizes)
-                    order = np.argsort(risk[at], kind="stable")  # rows stand in the order of slots, and of ord in a slot
-                    r, w = risk[at][order], wrong[at][order]
-                    if metric == "aurc":
-                        value = float(np.mean(np.cumsum(w) / np.arange(1, len(w) + 1))) if len(w) else None
-                    else:
-                        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-                        bad = np.add.reduceat(w, first) if len(r) else w
-                        good = np.add.reduceat(1 - w, first) if len(r) else w
-                        pairs = good.sum() * bad.sum()
-                        value = float((bad * (np.cumsum(good) - good / 2)).sum() / pairs) if pairs else None
-                    if value is not None:
-                        out.append((rep, m, value))
-            if out:
-                yield pd.DataFrame(out, columns=["rep", "method", "value"])
-
-    spark = scored.sparkSession
-    return spark.range(0, reps, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, method string, value double")
+#: Scored rows up to which one task packs them, and rows that are packed in one piece.
+SMALL, PIECE = 1_000_000, 1 << 16
+
+
+def _packed_rows(scored: DataFrame, small: int) -> tuple[DataFrame, int]:
+    """``method, part, piece, groups, sizes, risks, wrongs`` and the number of articles: the rows in the order of (method, article, ord), in pieces of one method and of few rows each.
+
+    ``groups`` are the numbers of a piece's articles and ``sizes`` their rows in it; all four are arrays as bytes.
+    """
+    numbered = materialize(_numbered(scored, "article"), "replicates-articles")
+    rows = scored.join(numbered.hint("merge"), "article").select("method", "_k", "ord", "risk", "correct")
+    keys = ["method", "_k", "ord"]
+    dealt = rows.coalesce(1) if rows.count() <= small else rows.repartitionByRange(*keys)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, piece = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            method = table.column("method").combine_chunks().dictionary_encode().indices.to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(method)) + 1).tolist(), len(method)]
+            for i, j in zip(ends, ends[1:]):
+                for low in range(i, j, PIECE):
+                    own = table.slice(low, min(PIECE, j - low))
+                    k, risk, correct = (own.column(c).to_numpy() for c in ("_k", "risk", "correct"))
+                    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                    arrays = k[first].astype(np.int64), np.diff(np.r_[first, len(k)]).astype(np.int64), risk.astype(np.float64), 1 - correct.astype(np.float64)
+                    yield pa.RecordBatch.from_pydict({"method": own.column("method").slice(0, 1).combine_chunks(), "part": [part], "piece": [piece], **{c: [a.tobytes()] for c, a in zip(("groups", "sizes", "risks", "wrongs"), arrays)}})
+                    piece += 1
+
+    schema = "method string, part long, piece long, groups binary, sizes binary, risks binary, wrongs binary"
+    return materialize(dealt.sortWithinPartitions(*keys).select("method", "_k", "risk", "correct").mapInArrow(pack, schema), "replicates-rows"), numbered.count()
+
+
+#: The turns and constants of MD5's 64 steps.
+_TURNS = [t for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in row * 4]
+_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+
+
+def _draws_of(seed: int, rep: int, n: int) -> np.ndarray:
+    """The draws of :func:`draws` for the slots below n as numbers of 0 to n - 1: the first four bytes of the MD5 of ``seed|rep|slot``, all slots of one length at once."""
+    start, out = np.frombuffer(f"{seed}|{rep}|".encode(), dtype=np.uint8), np.zeros(n, dtype=np.uint32)
+    for size in range(1, len(str(n)) + 1):
+        slots = np.arange(10 ** (size - 1) if size > 1 else 0, min(n, 10**size), dtype=np.int64)
+        if not len(slots):
+            continue
+        text = np.zeros((len(slots), 64), dtype=np.uint8)
+        length = len(start) + size
+        text[:, : len(start)] = start
+        for k in range(size):
+            text[:, len(start) + k] = slots // 10 ** (size - 1 - k) % 10 + ord("0")
+        text[:, length], text[:, 56], text[:, 57] = 0x80, length * 8 & 255, length * 8 >> 8
+        words = np.ascontiguousarray(text.view("<u4").T)
+        first = a, b, c, d = [np.full(len(slots), x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        for k in range(64):
+            if k < 16:
+                mixed, at = d ^ (b & (c ^ d)), k
+            elif k < 32:
+                mixed, at = c ^ (d & (b ^ c)), (5 * k + 1) % 16
+            elif k < 48:
+                mixed, at = b ^ c ^ d, (3 * k + 5) % 16
+            else:
+                mixed, at = c ^ (b | ~d), 7 * k % 16
+            mixed = mixed + a + words[at] + np.uint32(_SINES[k])
+            a, d, c = d, c, b
+            b = b + (mixed << np.uint32(_TURNS[k]) | mixed >> np.uint32(32 - _TURNS[k]))
+        out[slots] = (first[0] + a).byteswap()
+    return (out % n).astype(np.int32)
+
+
+def _in_order(code: np.ndarray) -> np.ndarray:
+    """The places of small numbers in rising order, equal ones as they stand."""
+    order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (code >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+class _Drawn:
+    """One method's rows in the order of (article, ord), from which replicates are drawn. ``pick`` has the article of each slot."""
+
+    def __init__(self, article: np.ndarray, risk: np.ndarray, wrong: np.ndarray, n: int) -> None:
+        self.n, self.article, self.wrong = n, article.astype(np.int32), wrong
+        self.levels, code = np.unique(risk, return_inverse=True)
+        self.code = code.astype(np.int32)
+        # only where equal risks are right and wrong does the order of slots tell
+        bad, every = np.bincount(self.code, weights=wrong), np.bincount(self.code)
+        mixed = (bad > 0) & (bad < every)
+        self.order = _in_order(self.code)
+        self.sorted = [x[self.order] for x in (self.article, wrong, mixed[self.code])]
+        at = np.flatnonzero(mixed[self.code])
+        self.count = np.bincount(self.article[at], minlength=n)
+        self.starts = np.cumsum(self.count) - self.count
+        self.tied = [x[at] for x in (self.code, wrong)]
+
+    def area(self, pick: np.ndarray) -> float | None:
+        """The AURC: drawn rows by risk, slot and ord."""
+        article, wrong, mixed = self.sorted
+        times = np.bincount(pick, minlength=self.n)[article]
+        w = np.repeat(wrong, times)
+        if not len(w):
+            return None
+        if len(self.tied[0]):
+            size = self.count[pick]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.starts[pick], size)
+            code, own = (x[at] for x in self.tied)
+            w[np.repeat(mixed, times)] = own[_in_order(code)]  # rows stand in the order of slots, and of ord in a slot
+        return float(np.mean(np.cumsum(w) / np.arange(1, len(w) + 1)))
+
+    def auc(self, pick: np.ndarray) -> float | None:
+        """The error AUC, equal risks averaged."""
+        times = np.bincount(pick, minlength=self.n)[self.article].astype(float)
+        bad = np.bincount(self.code, weights=times * self.wrong, minlength=len(self.levels))
+        good = np.bincount(self.code, weights=times, minlength=len(self.levels)) - bad
+        pairs = good.sum() * bad.sum()
+        return float((bad * (np.cumsum(good) - good / 2)).sum() / pairs) if pairs else None
 
 
 def replicate_metric(scored: DataFrame, metric: str, reps: int, seed: int, small: int = SMALL) -> DataFrame:
     """``rep, method, value`` of AURC or error AUC over resampled articles.
 
-    Up to ``small`` scored rows each worker gets a copy. Beyond, all replicates and
-    methods are one plan of joins; the AUC doesn't depend on order, so an article
-    that is drawn several times comes once with its number of draws, and its equal
-    risks are counted before.
+    The rows are packed into arrays (two numbers a row; ``small`` says up to how many
+    rows one task does that) and go to each block of replicates; a task computes its
+    replicates one after another. Nothing passes the driver, and no replicate's rows
+    are ever written. The AURC ranks drawn rows by risk, slot and ord; the AUC doesn't
+    depend on the order of equal risks, so that it counts each row as often as its article was drawn.
     """
-    if scored.count() <= small:
-        return _replicates_of_small(scored, metric, reps, seed)
-    if metric == "aurc":
-        ranked = running(resample(scored, reps, seed).withColumn("_e", 1 - F.col("correct")), ["rep", "method"], ["risk", "ord"], {"errors": "_e"}, most=50_000_000)
-        return ranked.groupBy("rep", "method").agg(F.avg(F.col("errors") / F.col("rn")).alias("value"))
-    times = draws(scored, "article", reps, seed).groupBy("rep", "article").agg(F.count(F.lit(1)).alias("times"))
-    held = scored.groupBy("article", "method", "risk").agg(F.sum("correct").alias("right"), F.sum(1 - F.col("correct")).alias("wrong"))
-    counts = times.join(held, "article").groupBy("rep", "method", "risk").agg(F.sum(F.col("times") * F.col("right")).alias("right"), F.sum(F.col("times") * F.col("wrong")).alias("wrong"))
-    w = Window.partitionBy("rep", "method").orderBy("risk").rowsBetween(Window.unboundedPreceding, 0)
-    won = counts.withColumn("_w", F.col("wrong") * (F.sum("right").over(w) - F.col("right") / 2))
-    sums = won.groupBy("rep", "method").agg(F.sum("_w").alias("won"), F.sum("right").alias("r"), F.sum("wrong").alias("w"))
-    return sums.where("r > 0 AND w > 0").select("rep", "method", (F.col("won") / (F.col("r") * F.col("w"))).alias("value"))
+    packed, n = _packed_rows(scored, small)
+    blocks = max(1, min(reps, 2 * scored.sparkSession.sparkContext.defaultParallelism))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("method", "ascending"), ("part", "ascending"), ("piece", "ascending")])
+        picks = {rep: _draws_of(seed, rep, n) for rep in range(table.column("_b")[0].as_py(), reps, blocks)}
+        names, out = table.column("method").to_pylist(), []
+        for m in dict.fromkeys(names):
+            own = table.slice(names.index(m), names.count(m))
+            groups, sizes, risk, wrong = (np.concatenate([np.frombuffer(b, dtype=kind) for b in own.column(c).to_pylist()]) for c, kind in (("groups", np.int64), ("sizes", np.int64), ("risks", np.float64), ("wrongs", np.float64)))
+            held = _Drawn(np.repeat(groups, sizes), risk, wrong, n)
+            out += [(rep, m, value) for rep, pick in picks.items() if (value := (held.area if metric == "aurc" else held.auc)(pick)) is not None]
+        return pa.table(dict(zip(("rep", "method", "value"), map(list, zip(*out)) if out else ([], [], []))), schema=pa.schema([("rep", pa.int64()), ("method", pa.string()), ("value", pa.float64())]))
+
+    each = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.groupBy("_b").applyInArrow(run, "rep long, method string, value double")
 
 
 def bootstrap_interval(scored: DataFrame, metric: str, reps: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -191,7 +279,7 @@ def shuffled(rows: DataFrame, column: str, order: list[str], seed: int) -> DataF
     keyed = rows.withColumn("_g", F.lit(0)).withColumn("_d", hash_draw(F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
     places = running(keyed, ["_g"], order, {}).drop("n", column, "_d")
     values = running(keyed.select("_g", "_d", *order, F.col(column).alias("_v")), ["_g"], ["_d", *order], {}).select("rn", F.col("_v").alias(column))
-    return places.join(values, "rn").drop("rn", "_g")
+    return places.join(values.hint("merge"), "rn").drop("rn", "_g")
 
 
 def shuffled_columns(rows: DataFrame, columns: list[str], key: str, times: int, seed: int) -> DataFrame:
@@ -204,7 +292,7 @@ def shuffled_columns(rows: DataFrame, columns: list[str], key: str, times: int,
     each = ordered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     drawn = rows.select(key, *columns).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_d", hash_draw((F.lit(seed) + F.col("k")).cast("string"), F.col(key)))
     values = running(drawn, ["k"], ["_d", key], {}).select("k", "rn", F.struct(*columns).alias("_v"))
-    both = each.join(values, ["k", "rn"]).drop("rn")
+    both = each.join(values.hint("merge"), ["k", "rn"]).drop("rn")
     which = F.explode(F.array(*map(F.lit, columns)))
     long = both.withColumn("signal", which)
     return long.withColumns({c: F.when(F.col("signal") == c, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in columns}).drop("_v")

@@ -124,3 +124,27 @@ def test_replicates_of_small_and_large_tables_agree(spark, metric):
     one = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, metric, 12, 5).collect()}
     two = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, metric, 12, 5, small=0).collect()}
     assert one.keys() == two.keys() and len(one) == 24 and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_replicates_equal_drawn_rows_and_dont_pass_the_driver(spark, monkeypatch, small):
+    """Ties of right and wrong answers, articles drawn several times, methods that lack articles: as the drawn rows written out have it."""
+    import hashlib
+
+    rows = [(m, k, f"a{k % 5}" if k % 17 else None, float(k * 7 % 4) if m == "t" else k / 7, float(k % 3 > 0)) for k in range(120) for m in ("t", "u") if m == "t" or k % 5]
+    frame = spark.createDataFrame(rows, "method string, ord int, article string, risk double, correct double").repartition(3)
+    drawn: dict = {}
+    for r in resample.resample(frame, 6, 5).collect():
+        drawn.setdefault((r["rep"], r["method"]), []).append((r["risk"], r["ord"]["slot"], r["ord"]["ord"], r["correct"]))
+    collected = []
+    monkeypatch.setattr(type(frame), "toPandas", lambda self: collected.append(self) or pytest.fail("rows pass the driver"))
+    area = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, "aurc", 6, 5, small=small).collect()}
+    auc = {(r["rep"], r["method"]): r["value"] for r in resample.replicate_metric(frame, "auc", 6, 5, small=small).collect()}
+    assert area.keys() == drawn.keys() == auc.keys() and not collected
+    for key, own in drawn.items():
+        own.sort()
+        wrong = [1 - r[3] for r in own]
+        assert area[key] == pytest.approx(sum(sum(wrong[: k + 1]) / (k + 1) for k in range(len(own))) / len(own), abs=1e-12)
+        bad, good = ([r[0] for r in own if r[3] == c] for c in (0, 1))
+        assert auc[key] == pytest.approx(sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good), abs=1e-12)
+    assert resample._draws_of(5, 3, 1234).tolist() == [int(hashlib.md5(f"5|3|{s}".encode()).hexdigest()[:8], 16) % 1234 for s in range(1234)]
