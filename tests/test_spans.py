@@ -83,3 +83,14 @@ def test_gold_with_thousands_is_found(spark, tmp_path):
     spark.createDataFrame([(1, "a", 0, "The wall has 11,119 stones and a well-known gate.")], "pid long, article string, para_idx int, text string").write.parquet(f"{tmp_path}/passages.parquet")
     spark.createDataFrame([("q1", "a", 1, "How many stones?", ["11,119"], False), ("q2", "a", 1, "What gate?", ["Well-known gate"], False)], "qid string, article string, gold_pid long, question string, answers array<string>, is_impossible boolean").write.parquet(f"{tmp_path}/questions.parquet")
     assert {(r["qid"], r["spans"]) for r in C.gold_spans(spark, str(tmp_path)).collect()} == {("q1", 1), ("q2", 1)}
+
+
+@pytest.mark.parametrize(("query", "most"), [("span_features", 1), ("training_spans", 1), ("gold_spans", 0)])
+def test_no_table_of_tokens_or_spans_is_broadcast(spark, monkeypatch, query, most):
+    """What may be broadcast are the heavy terms of the lookup; Spark's guesses of the other sizes are far too low."""
+    from quillspan.operators import learned
+    from quillspan.plans import corpus_queries as C
+
+    monkeypatch.setattr(learned, "materialize", lambda rows, name: rows)
+    plan = getattr(C, query)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2 * most and "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" in plan
